@@ -15,7 +15,9 @@ from warmgrid import constants as K
 from warmgrid.functions.numeric import c, nz, rnd
 from warmgrid.operators.scan import affine_scan, previous_row
 
-BY_SITE = Window.partitionBy("site_id").orderBy("ts")
+
+def by_site():
+    return Window.partitionBy("site_id").orderBy("ts")
 
 
 def epoch_hours(ts="ts") -> Column:
@@ -64,7 +66,7 @@ def gaussian_weights(hours: int) -> list[float]:
 def inertia_gaussian(hourly: DataFrame, hours: int, out: str = "gaussian_temp") -> DataFrame:
     """Bell-weighted mean of the last ``hours`` rows; NULL until that many exist."""
     w = gaussian_weights(hours)
-    terms = [F.lag("temp", hours - 1 - i).over(BY_SITE) * w[i] for i in range(hours - 1)]
+    terms = [F.lag("temp", hours - 1 - i).over(by_site()) * w[i] for i in range(hours - 1)]
     total = F.col("temp") * w[-1]
     for x in terms:
         total = total + x
@@ -74,8 +76,8 @@ def inertia_gaussian(hourly: DataFrame, hours: int, out: str = "gaussian_temp")
 def inertia_asymmetric(hourly: DataFrame) -> DataFrame:
     """Slow four-row profile when falling, two rows when rising, three when stable."""
     d = hourly.withColumns({
-        "_past": F.first("temp").over(BY_SITE.rowsBetween(-4, 0)),
-        "_tail": F.reverse(F.collect_list("temp").over(BY_SITE.rowsBetween(-3, 0)))})
+        "_past": F.first("temp").over(by_site().rowsBetween(-4, 0)),
+        "_tail": F.reverse(F.collect_list("temp").over(by_site().rowsBetween(-3, 0)))})
     regime = (F.when(F.col("temp") < F.col("_past") - 0.5, "shedding")
               .when(F.col("temp") > F.col("_past") + 0.5, "gaining").otherwise("stable"))
     d = d.withColumn("inertia_regime", regime)
@@ -110,14 +112,14 @@ def potential_battery(hourly: DataFrame, decay: float = K.BATTERY_DECAY) -> Data
 
 def centered_average(hourly: DataFrame, col: str = "actual_kwh", out: str = "centered_kwh") -> DataFrame:
     x = F.col(col)
-    return hourly.withColumn(out, (F.coalesce(F.lag(col).over(BY_SITE), x) + x + F.coalesce(F.lead(col).over(BY_SITE), x)) / 3.0)
+    return hourly.withColumn(out, (F.coalesce(F.lag(col).over(by_site()), x) + x + F.coalesce(F.lead(col).over(by_site()), x)) / 3.0)
 
 
 def thermal_state(hourly: DataFrame, bp: float = K.BALANCE_POINT) -> DataFrame:
     """Lag of the inertia temperature, regime, and the two-row trend."""
     d = inertia(hourly).withColumns({
-        "_old": F.coalesce(F.lag("temp", 2).over(BY_SITE), F.lag("temp", 1).over(BY_SITE)),
-        "_back": F.when(F.lag("temp", 2).over(BY_SITE).isNotNull(), 2).otherwise(1)})
+        "_old": F.coalesce(F.lag("temp", 2).over(by_site()), F.lag("temp", 1).over(by_site())),
+        "_back": F.when(F.lag("temp", 2).over(by_site()).isNotNull(), 2).otherwise(1)})
     lag, rate = F.col("inertia_temp") - F.col("temp"), (F.col("temp") - F.col("_old")) / F.col("_back")
     lag = rnd(lag, 6)
     rate = rnd(rate, 6)
@@ -133,7 +135,7 @@ def thermal_state(hourly: DataFrame, bp: float = K.BALANCE_POINT) -> DataFrame:
 
 def rolling_power(hourly_unit: DataFrame, hourly: DataFrame, fraction_passed: float) -> DataFrame:
     """Sixty-minute rolling power in watts: this hour so far plus the rest of the last logged hour."""
-    prev = hourly.select("site_id", "ts", F.lag("ts").over(BY_SITE).alias("prev_ts"))
+    prev = hourly.select("site_id", "ts", F.lag("ts").over(by_site()).alias("prev_ts"))
     last = hourly_unit.select("site_id", "unit_id", F.col("ts").alias("prev_ts"), F.col("actual_kwh").alias("last_kwh"))
     d = hourly_unit.join(prev, ["site_id", "ts"]).join(last, ["site_id", "unit_id", "prev_ts"], "left")
     w = F.col("actual_kwh") + nz("last_kwh") * (1.0 - fraction_passed)
