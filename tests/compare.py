@@ -50,7 +50,7 @@ if __name__ == "__main__":
             else:
                 n = len(fn(spark, sf_dir).collect()); ok, m, d = n > 0, None, "rows only"
         except Exception as e:
-            ok, n, m, d = False, None, None, str(e)[:1500]
+            ok, n, m, d = False, None, None, str(e).split(chr(10))[0][:400]
         bad += not ok
         print(f"{'ok ' if ok and n else 'EMPTY' if ok else 'BAD'} {name} {n} {m} {time.time()-t0:.1f}s {'' if ok else d}", flush=True)
     print("bad:", bad)

@@ -99,15 +99,12 @@ def solar_battery(hourly: DataFrame, decay: float = K.BATTERY_DECAY, feedback: f
     x = nz("solar_impact_kwh")
     if feedback:
         x = x + F.when(F.col("has_heating"), feedback * nz("solar_wasted_kwh")).otherwise(0.0)
-    return affine_scan(hourly, ["site_id"], "ts", F.lit(decay), x * (1 - decay), "battery_state")
+    return affine_scan(hourly, ["site_id"], "ts", F.lit(decay), {"battery_state": x * (1 - decay)})
 
 
 def potential_battery(hourly: DataFrame, decay: float = K.BATTERY_DECAY) -> DataFrame:
     """The same EMA for each direction of the potential vector."""
-    d = hourly
-    for f in "sew":
-        d = affine_scan(d, ["site_id"], "ts", F.lit(decay), nz(f"pot_{f}") * (1 - decay), f"battery_{f}")
-    return d
+    return affine_scan(hourly, ["site_id"], "ts", F.lit(decay), {f"battery_{f}": nz(f"pot_{f}") * (1 - decay) for f in "sew"})
 
 
 def centered_average(hourly: DataFrame, col: str = "actual_kwh", out: str = "centered_kwh") -> DataFrame:

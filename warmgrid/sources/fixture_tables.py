@@ -191,7 +191,7 @@ SELECT site_id, hr AS ts, CAST(hr AS DATE) AS local_date, hour(hr) AS hour, sour
        CASE WHEN count(*) % 2 = 0 THEN round(avg(k) + 1e-9, 2) END AS cloud_coverage,
        CASE WHEN min(event_id) % 3 = 0 THEN 'rainy' WHEN min(event_id) % 3 = 1 THEN 'sunny' ELSE 'partlycloudy' END AS condition,
        min(event_id) AS first_event
-FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS source FROM {readings}) x
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS source FROM {readings}) tagged
 GROUP BY site_id, hr, source
 """
 
