@@ -40,7 +40,7 @@ def train_base(hourly: DataFrame, lr: float = K.LEARNING_RATE, lift: bool = True
     d = d.select("site_id", "temp_key", "wind_bucket", "ts", F.col("energy").alias("x"),
                  F.greatest(F.lit(0.0), F.col("energy") + F.col("delta")).alias("dark"),
                  (F.lit(lr) * F.greatest(F.lit(0.0), nz("snr_weight", 1.0))).alias("r"))
-    init = F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("n"), F.lit(None).cast("timestamp_ntz").alias("t0"))
+    init = F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("n"), F.lit(None).cast(hourly.schema["ts"].dataType).alias("t0"))
 
     def step(s: Column, x: Column) -> Column:
         dark = x["dark"] if lift else x["x"]
