@@ -32,6 +32,10 @@ def patchy_base(t):
 
 
 def unit_cells(t):
+    return t.stored("unit_cells", lambda: build_unit_cells(t))
+
+
+def build_unit_cells(t):
     h = keyed(t).select("site_id", "ts", "temp_key", "wind_bucket", "auxiliary_active", "solar_factor", "temp")
     return t.hourly_unit.join(h, ["site_id", "ts"])
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "warmgrid", cores: int = 8, shuffle: int | None = None) -> SparkSession:
@@ -26,10 +27,30 @@ def local_session(name: str = "warmgrid", cores: int = 8, shuffle: int | None =
     return spark
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="warmgrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The shared folder the cluster names; a scratch one only where none is named."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        _ROOTS[app] = named or tempfile.mkdtemp(prefix="warmgrid-")
+    return _ROOTS[app]
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
+    """Write ``build()`` once per application and read it back as a columnar table.
+
+    Cuts lineage where one table feeds many branches of a plan: the branches then
+    scan only their columns, and a lost executor re-reads instead of recomputing.
+    """
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _STORED:
+        path = f"{checkpoint_root(spark)}/warmgrid/{key[0]}/{uuid.uuid4().hex}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

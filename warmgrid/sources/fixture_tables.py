@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warmgrid.operators import enrich as E
+from warmgrid.session import stored_table
 
 READINGS = """
 SELECT event_id, CAST(floor(user_id / 30) AS BIGINT) AS site_id,
@@ -281,6 +282,13 @@ class FixtureTables:
 
     @cached_property
     def hourly_log(self) -> DataFrame:
+        return self.stored("hourly_log", self.build_hourly_log)
+
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table written once per application, as a deployment would keep it."""
+        return stored_table(self.spark, self.sf_dir, name, build)
+
+    def build_hourly_log(self) -> DataFrame:
         """Weather and unit totals of each hour.
 
         The aggregate sits above the solar columns on purpose: later filters on
@@ -298,7 +306,8 @@ class FixtureTables:
 
     @cached_property
     def hourly_unit(self) -> DataFrame:
-        return self.sql(HOURLY_UNIT, unit_hours=self.unit_hours, site_weather=self.site_weather)
+        hours = self.hourly_log.select("site_id", "ts", "temp", "solar_factor")
+        return self.stored("hourly_unit", lambda: self.sql(HOURLY_UNIT, unit_hours=self.unit_hours, site_weather=hours))
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -310,11 +319,11 @@ class FixtureTables:
 
     @cached_property
     def units(self) -> DataFrame:
-        return self.sql(UNITS, unit_hours=self.unit_hours)
+        return self.sql(UNITS, unit_hours=self.hourly_unit)
 
     @cached_property
     def sites(self) -> DataFrame:
-        return self.sql(SITES, unit_hours=self.unit_hours)
+        return self.sql(SITES, unit_hours=self.hourly_unit)
 
     @cached_property
     def daily(self) -> DataFrame:
