@@ -19,19 +19,15 @@ def attach_model(hours: DataFrame, model: DataFrame, keys=("site_id",), out: str
     return hours.join(m, [*keys, "temp_key", "wind_bucket"], "left")
 
 
-def _at(cell: Column, bucket: Column) -> Column:
-    """Value of ``bucket`` in a wide model cell."""
-    out = F.lit(None).cast("double")
-    for b in BUCKETS:
-        out = F.when(bucket == b, cell[b]).otherwise(out)
-    return out
+def _at(cell: str) -> str:
+    """SQL: value of the row's wind bucket in a wide model cell."""
+    return "CASE wind_bucket " + " ".join(f"WHEN '{b}' THEN {cell}.{b}" for b in BUCKETS) + " END"
 
 
-def _resolved(cell: Column, bucket: Column) -> Column:
-    """Value of the best available bucket of a neighbouring cell."""
-    cold_path = F.coalesce(
-        F.when(bucket == "extreme_wind", cell["high_wind"]), cell["normal"], cell["high_wind"], cell["extreme_wind"])
-    return F.coalesce(_at(cell, bucket), F.when(bucket != K.COOLING_BUCKET, cold_path))
+def _resolved(cell: str) -> str:
+    """SQL: best available bucket of a cell; cooling never borrows heating data."""
+    return (f"coalesce({_at(cell)}, CASE WHEN wind_bucket <> 'cooling' THEN coalesce("
+            f"CASE WHEN wind_bucket = 'extreme_wind' THEN {cell}.high_wind END, {cell}.normal, {cell}.high_wind, {cell}.extreme_wind) END)")
 
 
 def prediction_grid(model: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,20 +64,17 @@ def attach_model_with_fallback(hours: DataFrame, model: DataFrame, keys: list[st
     keys = keys or ["site_id"]
     grid = prediction_grid(model, hours, keys)
     d = hours.join(grid, [*keys, "temp_key"], "left")
-    b = F.col("wind_bucket")
-    own, near = F.col("own"), F.col("near")
-    lo, hi = _at(F.col("minus1"), b), _at(F.col("plus1"), b)
-    dt = F.abs(F.lit(bp) - c(temp))
-    adjacent = F.coalesce((lo + hi) / 2.0, lo, hi)
-    calmer = F.when(b == "extreme_wind", F.coalesce(own["high_wind"], own["normal"])).when(b != K.COOLING_BUCKET, own["normal"])
-    value = _resolved(near, b)
-    src = F.abs(F.lit(bp) - near["temp_key"])
-    guard = F.when(dt > 4.0, F.lit(1.0)).otherwise(F.lit(0.5))
-    scaled = F.when(src < guard, value).otherwise(rnd(value * dt / src, 3)) if scale else value
-    far = (F.when(near.isNull(), F.coalesce(_resolved(own, b), F.lit(0.0)))
-           .when(value.isNull() | (value <= 0.001), F.lit(0.0)).otherwise(scaled))
-    d = d.withColumns({"_exact": _at(own, b), "_mild": F.when(dt <= 4.0, F.coalesce(adjacent, calmer)), "_far": far})
-    return d.withColumn(out, F.coalesce("_exact", "_mild", "_far")).drop("own", "near", "minus1", "plus1", "_exact", "_mild", "_far")
+    dt = f"abs({bp}D - {temp})"
+    lo, hi = _at("minus1"), _at("plus1")
+    calmer = "CASE wind_bucket WHEN 'extreme_wind' THEN coalesce(own.high_wind, own.normal) WHEN 'cooling' THEN NULL ELSE own.normal END"
+    value, src = _resolved("near"), f"abs({bp}D - near.temp_key)"
+    scaled = f"""CASE WHEN {src} < CASE WHEN {dt} > 4.0D THEN 1.0D ELSE 0.5D END THEN _value
+                 ELSE round(_value * {dt} / {src} + 1e-9D, 3) END""" if scale else "_value"
+    d = d.withColumn("_value", F.expr(value))
+    picked = f"""coalesce({_at("own")},
+        CASE WHEN {dt} <= 4.0D THEN coalesce(({lo} + {hi}) / 2.0D, {lo}, {hi}, {calmer}) END,
+        CASE WHEN near IS NULL THEN coalesce({_resolved("own")}, 0.0D) WHEN _value IS NULL OR _value <= 0.001D THEN 0.0D ELSE {scaled} END)"""
+    return d.withColumn(out, F.expr(picked)).drop("own", "near", "minus1", "plus1", "_value")
 
 
 def blend_sources(primary: DataFrame, secondary: DataFrame, as_of: Column, crossover_day: int = K.CROSSOVER_DAY) -> DataFrame:
