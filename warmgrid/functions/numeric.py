@@ -65,3 +65,14 @@ def regime_of(mode) -> Column:
         F.when(m.isin("heating", "guest_heating"), F.lit("heating"))
         .when(m.isin("cooling", "guest_cooling"), F.lit("cooling"))
     )
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson correlation; NULL where either side has no spread (ANSI mode would raise)."""
+    sx, sy = F.stddev_pop(c(x)), F.stddev_pop(c(y))
+    return F.when((sx > 1e-9) & (sy > 1e-9), F.covar_pop(c(x), c(y)) / (sx * sy))
+
+
+def safe_slope(y, x) -> Column:
+    """Least-squares slope of y on x; NULL where x has no spread."""
+    return F.when(F.var_pop(c(x)) > 1e-12, F.covar_pop(c(x), c(y)) / F.var_pop(c(x)))

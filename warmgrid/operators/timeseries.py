@@ -198,7 +198,7 @@ def paired_loss(residuals: DataFrame, keys: list[str], n_candidates: int = 1, mi
     e, e1 = F.col("_d") - F.col("_m"), F.col("_next") - F.col("_m")
     n = F.count(F.lit(1))
     a = d.groupBy(*keys).agg(n.alias("n_paired_hours"), F.avg("_d").alias("mean_improvement"),
-                             (F.sum(e * e) / (n - 1)).alias("_var"), (F.sum(e * e1) / (n - 1)).alias("_cov"))
+                             (F.sum(e * e) / F.greatest(n - 1, F.lit(1))).alias("_var"), (F.sum(e * e1) / F.greatest(n - 1, F.lit(1))).alias("_cov"))
     ok = (F.col("n_paired_hours") >= min_hours) & (rnd("_var", 12) > 0)
     r1 = F.greatest(F.lit(0.0), F.least(F.lit(0.95), F.col("_cov") / F.when(F.col("_var") > 0, F.col("_var"))))
     a = a.withColumn("lag1_autocorrelation", F.when(ok, r1))
