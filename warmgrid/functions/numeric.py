@@ -19,7 +19,8 @@ def temp_key(temp) -> Column:
 
 
 def clamp(x, lo, hi) -> Column:
-    return F.least(F.greatest(c(x), c(lo)), c(hi))
+    # least/greatest skip NULLs, so a missing value must be passed through explicitly
+    return F.when(c(x).isNotNull(), F.least(F.greatest(c(x), c(lo)), c(hi)))
 
 
 def nz(x, default=0.0) -> Column:

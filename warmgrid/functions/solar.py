@@ -42,7 +42,7 @@ def irradiance_source(ghi, dni, dhi, cloud) -> Column:
 
 def transmittance(pct, screened, floor=K.SCREEN_FLOOR) -> Column:
     """Open-percentage to transmittance; a facade without screens passes all."""
-    t = c(floor) + (1.0 - c(floor)) * clamp(pct, 0.0, 100.0) / 100.0
+    t = c(floor) + (1.0 - c(floor)) * clamp(F.coalesce(c(pct), F.lit(100.0)), 0.0, 100.0) / 100.0
     return F.when(c(screened), t).otherwise(F.lit(1.0))
 
 
