@@ -146,6 +146,7 @@ def read_mpc(live: DataFrame, snapshots: DataFrame, min_hours: int = K.MPC_MIN_H
     return both.join(best.select("site_id", "local_date", F.col("b.slot").alias("slot")), ["site_id", "local_date", "slot"])
 
 
-def file_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType, max_files: int = 64) -> DataFrame:
+    """A folder as a stream; admission is bounded so one key's share of a micro-batch is too."""
     r = spark.readStream.schema(schema).option("pathGlobFilter", file)
-    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(folder)
+    return r.option("maxFilesPerTrigger", max_files).parquet(folder)
