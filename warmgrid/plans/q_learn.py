@@ -150,7 +150,7 @@ SELECT g.site_id, g.ts, CAST(round_even(temp, 0) AS INT) AS temp_key, wind_bucke
 FROM g JOIN v ON g.site_id = v.site_id AND g.ts = v.ts""")
 
 
-@query("strategy_contributions", "L9 O215", "site_id:i ts:t temp_key:i wind_bucket:s direct:f smear:f total_kwh:f", "SELECT * FROM strategy_hours WHERE total_kwh > 0")
+@query("strategy_contributions", "L9", "site_id:i ts:t temp_key:i wind_bucket:s direct:f smear:f total_kwh:f", "SELECT * FROM strategy_hours WHERE total_kwh > 0")
 def _(t):
     return L.strategy_contributions(t.hourly_unit, t.hourly_log, t.units, synthetic(t))
 

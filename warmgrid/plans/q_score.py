@@ -171,14 +171,19 @@ UNION ALL SELECT site_id, local_date, CAST(local_date AS TIMESTAMP), 'daily', 24
  FROM point_rows p JOIN point_scores s ON p.site_id = s.site_id AND p.ts = s.ts GROUP BY 1, 2""")
 
 
-def modeled_days(t):
+def model_points(t):
     """Days 1-10 keep their log; later days only have vectors or (odd days past 20) bare totals."""
     d = F.dayofmonth("local_date")
     vec = A.hourly_vectors(t.hourly_log).filter((d <= 20) | (d % 2 == 0))
     daily = A.daily_scalars(t.hourly_log).select("site_id", "local_date", "temp", "tdd", "wind", "kwh", "solar_factor").join(vec, ["site_id", "local_date"], "left")
     log = t.hourly_log.filter(d <= 10)
-    pts = M.modeled_points(log, daily, F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-31")))
-    return M.modeled_energy(pts, t.hourly_unit.filter(d <= 10), models(t))
+    return M.modeled_points(log, daily, F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-31")))
+
+
+def modeled_days(t):
+    # the points feed the lookup grids, the unit fan-out and the final join: store them once
+    pts = t.stored("model_points", lambda: model_points(t))
+    return M.modeled_energy(pts, t.hourly_unit.filter(F.dayofmonth("local_date") <= 10), models(t))
 
 
 @query("modeled_energy", "M4", "site_id:i local_date:d branch:s modeled_kwh:f solar_kwh:f tdd:f temp:f wind:f", "SELECT * FROM modeled_days")
