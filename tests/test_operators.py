@@ -46,7 +46,9 @@ def test_previous_row_carries_over_empty_hours(spark):
     rng = random.Random(5)
     rows = [(u, T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 5)), i, float(i)) for i in range(300) for u in ("a", "b")]
     df = spark.createDataFrame(rows, "unit string, ts timestamp, n long, v double")
-    got = {(r.unit, r.ts, r.n): r.p.v if r.p else None for r in previous_row(df, ["unit"], "ts", ["ts", "n"], ["v"], "p").collect()}
+    got, fine = ({(r.unit, r.ts, r.n): r.p.v if r.p else None for r in previous_row(df, ["unit"], "ts", ["ts", "n"], ["v"], "p", b).collect()}
+                 for b in ("hour", "minute"))
+    assert got == fine
     for u in ("a", "b"):
         last = None
         for _, ts, n, v in sorted(r for r in rows if r[0] == u):

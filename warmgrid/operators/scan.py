@@ -58,14 +58,15 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fields: list[
     return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", init, step).alias("state"))
 
 
-def previous_row(df: DataFrame, keys: list[str], ts: str, order: list[str], cols: list[str], out: str) -> DataFrame:
-    """Add ``out`` = struct of ``cols`` of the preceding row, scanning hour blocks of a key.
+def previous_row(df: DataFrame, keys: list[str], ts: str, order: list[str], cols: list[str], out: str, block: str = "hour") -> DataFrame:
+    """Add ``out`` = struct of ``cols`` of the preceding row, scanning time blocks of a key.
 
-    Rows are ordered inside one hour; the last row of each hour is carried forward
-    over hours, which are bounded by the calendar, not by the number of readings.
+    Rows are ordered inside one block; the last row of each block is carried forward
+    over blocks, whose number is bounded by the calendar, not by the number of
+    readings. A finer ``block`` splits a hotter key.
     """
     picked = F.struct(*cols)
-    d = df.withColumn("_hr", F.date_trunc("hour", ts))
+    d = df.withColumn("_hr", F.date_trunc(block, ts))
     d = d.withColumn("_prev", F.lag(picked).over(Window.partitionBy(*keys, "_hr").orderBy(*order)))
     heads = d.groupBy(*keys, "_hr").agg(F.max_by(picked, F.struct(*order)).alias("_last"))
     heads = heads.select(*keys, "_hr", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_hr")).alias("_carry"))

@@ -24,12 +24,12 @@ def epoch_hours(ts="ts") -> Column:
     return F.floor(F.unix_timestamp(c(ts).cast("timestamp")) / 3600).cast("long")
 
 
-def meter_delta(readings: DataFrame, max_delta: float = K.MAX_ENERGY_DELTA) -> DataFrame:
+def meter_delta(readings: DataFrame, max_delta: float = K.MAX_ENERGY_DELTA, block: str = "hour") -> DataFrame:
     """Cumulative readings to deltas; resets and spikes are dropped but re-baseline.
 
     Hot-water deltas keep the baseline moving and count as zero heating energy.
     """
-    d = previous_row(readings, ["site_id", "unit_id"], "ts", ["ts", "event_id"], ["reading_kwh"], "prev")
+    d = previous_row(readings, ["site_id", "unit_id"], "ts", ["ts", "event_id"], ["reading_kwh"], "prev", block)
     raw = F.col("reading_kwh") - F.col("prev.reading_kwh")
     status = (F.when(raw.isNull(), "first").when(raw < 0, "reset").when(raw > max_delta, "spike")
               .when(F.col("mode") == "dhw", "dhw").otherwise("ok"))

@@ -243,12 +243,29 @@ def _(t):
     return C.implied_coefficients(diagnose_samples(t))
 
 
-@query("apply_suggestion", "C9", "site_id:i unit_id:s regime:s new_s:f new_e:f new_w:f changed:b")
+@query("apply_suggestion", "C9", "site_id:i unit_id:s regime:s new_s:f new_e:f new_w:f changed:b", LS.format(gram="chunk_gram") + """,
+whole AS (SELECT * FROM (""" + LS.format(gram="gram") + """ SELECT * FROM f)),
+p AS (SELECT site_id, unit_id, regime, 's' AS direction, s AS v FROM f UNION ALL SELECT site_id, unit_id, regime, 'e', e FROM f UNION ALL SELECT site_id, unit_id, regime, 'w', w FROM f),
+g AS (SELECT site_id, unit_id, regime, direction, count(v) AS fits, min(v) AS lo, max(v) AS hi, max(abs(v)) AS big FROM p GROUP BY 1, 2, 3, 4),
+ok AS (SELECT g.site_id, g.unit_id, g.regime, g.direction, least(5, greatest(0, CASE g.direction WHEN 's' THEN wh.s WHEN 'e' THEN wh.e ELSE wh.w END)) AS nv FROM g JOIN whole wh ON g.site_id = wh.site_id AND g.unit_id = wh.unit_id AND g.regime = wh.regime
+ WHERE wh.n >= 30 AND fits >= 3 AND (round(big + 1e-9, 9) <= 0.05 OR (NOT (lo < -0.05 AND hi > 0.05) AND NOT big > 3 * greatest(least(abs(lo), abs(hi)), 0.05)))),
+m AS (SELECT site_id, unit_id, unnest(['heating', 'cooling']) AS regime FROM unit_dim),
+r AS (SELECT m.*, coalesce(max(nv) FILTER (direction = 's'), 0.5) AS new_s, coalesce(max(nv) FILTER (direction = 'e'), 0.3) AS new_e, coalesce(max(nv) FILTER (direction = 'w'), 0.2) AS new_w FROM m LEFT JOIN ok ON m.site_id = ok.site_id AND m.unit_id = ok.unit_id AND m.regime = ok.regime GROUP BY ALL)
+SELECT *, new_s <> 0.5 OR new_e <> 0.3 OR new_w <> 0.2 AS changed FROM r""")
 def _(t):
     return C.apply_suggestion(prior_coeffs(t), C.implied_coefficients(diagnose_samples(t)))
 
 
-@query("transmittance_sweep", "D14", "site_id:i unit_id:s floor:f n:i rmse:f rank:i")
+SWEEP = """
+WITH v AS (SELECT *, unnest([0.05, 0.08, 0.12, 0.15, 0.2, 0.25]) AS floor FROM fit_labels WHERE drop_reason IS NULL),
+x AS (SELECT site_id, unit_id, floor, impact, solar_vector_s / CASE WHEN screen_s THEN floor + (1 - floor) * correction_percent / 100 ELSE 1 END AS ps, solar_vector_e / CASE WHEN screen_e THEN floor + (1 - floor) * correction_percent / 100 ELSE 1 END AS pe,
+ solar_vector_w / CASE WHEN screen_w THEN floor + (1 - floor) * correction_percent / 100 ELSE 1 END AS pw FROM v),
+sw AS (SELECT site_id, unit_id, floor, count(*) AS n, sum(ps*ps) AS ss, sum(pe*pe) AS ee, sum(pw*pw) AS ww, sum(ps*pe) AS se, sum(ps*pw) AS sw, sum(pe*pw) AS ew, sum(ps*impact) AS sy, sum(pe*impact) AS ey, sum(pw*impact) AS wy, sum(ps) AS ds, sum(pe) AS de, sum(pw) AS dw FROM x GROUP BY 1, 2, 3),""" + LS.format(gram="sw").replace("WITH", "") + """,
+r AS (SELECT x.site_id, x.unit_id, x.floor, any_value(f.n) AS n, round(sqrt(avg(power(impact - f.s * ps - f.e * pe - f.w * pw, 2))) + 1e-9, 4) AS rmse FROM x JOIN f ON x.site_id = f.site_id AND x.unit_id = f.unit_id AND x.floor = f.floor WHERE f.n >= 20 GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY site_id, unit_id ORDER BY rmse, floor) AS rank FROM r"""
+
+
+@query("transmittance_sweep", "D14", "site_id:i unit_id:s floor:f n:i rmse:f rank:i", SWEEP)
 def _(t):
     return C.transmittance_sweep(C.solar_samples(fit_hours(t), "diagnose").filter("drop_reason is null").drop("ps", "pe", "pw"))
 

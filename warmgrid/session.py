@@ -31,10 +31,12 @@ _ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only where none is named."""
+    """The shared folder the cluster names; a scratch one only in local mode without that setting."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         _ROOTS[app] = named or tempfile.mkdtemp(prefix="warmgrid-")
     return _ROOTS[app]
 

@@ -18,7 +18,18 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append
     """
     base = f"{checkpoint_root(spark)}/warmgrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        # a stream fixes its state partitions at first start; one per core is enough in one process
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        _finish(stream, base, mode)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _finish(stream: DataFrame, base: str, mode: str) -> None:
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
