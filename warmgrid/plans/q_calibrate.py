@@ -11,7 +11,7 @@ from warmgrid.operators import timeseries as W
 from warmgrid.plans.q_learn import BASE_ROWS, CELL, fold_sql
 from warmgrid.plans.q_rollup import simple_base
 from warmgrid.plans.q_timeseries import snr_hours
-from warmgrid.plans.registry import query
+from warmgrid.plans.registry import QUERIES, query
 from warmgrid.sources.fixture_tables import add_oracle_tables
 
 LABELLED = """SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p, CASE WHEN actual_kwh <= 0 THEN 1 WHEN solar_impact_kwh > 0.1 THEN 2
@@ -56,14 +56,29 @@ def _(t):
     return C.delta_t_bins(P.pure_hours(t.hourly_log), simple_base(t))
 
 
-@query("calibrate_inertia_gaussian", "C1", "site_id:i family:s param:i points:i r2:f rmse:f")
+add_oracle_tables(
+    kernel_weights="""
+WITH k AS (SELECT 'exponential' AS family, tau AS param, j, exp(-j / tau) AS w FROM (SELECT tau, unnest(range(least(5 * tau, 168))) AS j FROM (SELECT unnest([1, 2, 3, 4, 6, 8, 12, 18, 24, 36, 48, 72]) AS tau))
+ UNION ALL SELECT 'gaussian', h, j, CASE WHEN h <= 2 THEN 1.0 ELSE exp(-power(j - (h - 1) / 2.0, 2) / (2 * power(h / 4.0, 2))) END FROM (SELECT h, unnest(range(h)) AS j FROM (SELECT unnest(range(1, 25)) AS h)))
+SELECT family, param, j, w / sum(w) OVER (PARTITION BY family, param) AS w, max(j) OVER (PARTITION BY family, param) AS last FROM k""",
+    kernel_points="""
+SELECT e.*, greatest(0, 17 - eff) / 24 AS x, greatest(0, actual_kwh - coalesce(CASE wind_bucket WHEN 'high_wind' THEN ch - cn WHEN 'extreme_wind' THEN ce - cn END, 0)) AS y FROM (
+SELECT l.site_id, l.ts, l.wind_bucket, l.actual_kwh, k.family, k.param, sum(b.temp * k.w) AS eff FROM labelled_hours l JOIN kernel_weights k ON l.p > k.last JOIN labelled_hours b ON b.site_id = l.site_id AND b.p = l.p - k.j
+WHERE l.reason IS NULL GROUP BY 1, 2, 3, 4, 5, 6) e LEFT JOIN calm_cells c ON e.site_id = c.site_id AND c.temp_key = CAST(round_even(round(eff + 1e-9, 9), 0) AS INT)""",
+    asym_hours=QUERIES["inertia_asymmetric"].sql,
+    asym_points="""
+SELECT a.site_id, greatest(0, 17 - asymmetric_temp) / 24 AS x, greatest(0, actual_kwh - coalesce(CASE wind_bucket WHEN 'high_wind' THEN ch - cn WHEN 'extreme_wind' THEN ce - cn END, 0)) AS y
+FROM labelled_hours l JOIN asym_hours a ON l.site_id = a.site_id AND l.ts = a.ts LEFT JOIN calm_cells c ON l.site_id = c.site_id AND c.temp_key = CAST(round_even(round(asymmetric_temp + 1e-9, 9), 0) AS INT) WHERE reason IS NULL AND p > 1""")
+
+
+@query("calibrate_inertia_gaussian", "C1", "site_id:i family:s param:i points:i r2:f rmse:f", regression_sql("kernel_points", "site_id, family, param"))
 def _(t):
     lab = P.pure_hours(t.hourly_log)
     ext = C.exponential_kernels([1, 2, 3, 4, 6, 8, 12, 18, 24, 36, 48, 72])
     return C.kernel_sweep(lab, simple_base(t), C.gaussian_kernels(range(1, 25)) + ext)
 
 
-@query("calibrate_inertia_asymmetric", "C1", "site_id:i points:i r2:f rmse:f")
+@query("calibrate_inertia_asymmetric", "C1", "site_id:i points:i r2:f rmse:f", regression_sql("asym_points", "site_id"))
 def _(t):
     return C.asymmetric_fit(W.inertia_asymmetric(P.pure_hours(t.hourly_log)), simple_base(t))
 

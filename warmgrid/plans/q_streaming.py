@@ -75,13 +75,21 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("stream_cooldown", "T4", "site_id:i ts:t locked:b")
+COOLDOWN_SQL = """
+WITH RECURSIVE o AS (SELECT site_id, ts, CAST(epoch(ts) / 3600 AS BIGINT) AS h, aux_fraction >= 0.5 AS aux, actual_kwh AS a, expected_kwh AS e, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM hourly_log),
+c AS (SELECT site_id, ts, p, aux, false AS locked, CAST(NULL AS BIGINT) AS since FROM o WHERE p = 1
+ UNION ALL SELECT site_id, ts, p, aux, s1 IS NOT NULL, CASE WHEN s1 IS NOT NULL AND (h - s1 >= 6 OR (h - s1 >= 2 AND e > 0.01 AND a / e >= 0.92)) THEN NULL ELSE s1 END FROM (
+  SELECT o.*, CASE WHEN o.aux AND NOT c.aux THEN NULL WHEN c.aux AND NOT o.aux THEN o.h ELSE c.since END AS s1 FROM c JOIN o ON o.site_id = c.site_id AND o.p = c.p + 1))
+SELECT site_id, ts, locked FROM c"""
+
+
+@query("stream_cooldown", "T4", "site_id:i ts:t locked:b", COOLDOWN_SQL)
 def _(t):
     h = lambda: t.hourly_log.select("site_id", "ts", (F.col("aux_fraction") >= 0.5).alias("auxiliary_active"), "actual_kwh", "expected_kwh")
     return drain(t.spark, J.keyed_stream(table_stream(t, "cool", h), ["site_id"], J.Cooldown()), "cooldown")
 
 
-@query("cooldown_batch", "T4", "site_id:i ts:t locked:b")
+@query("cooldown_batch", "T4", "site_id:i ts:t locked:b", COOLDOWN_SQL)
 def _(t):
     return J.cooldown_batch(t.hourly_log.withColumn("auxiliary_active", F.col("aux_fraction") >= 0.5))
 
@@ -121,7 +129,13 @@ def _(t):
     return drain(t.spark, J.stream_forecast_join(J.stream_hourly_rollup(sample_stream(t)), plan), "versus_plan")
 
 
-@query("stream_outage_alert", "T9", "site_id:i ts:t raised:b share:f")
+@query("stream_outage_alert", "T9", "site_id:i ts:t raised:b share:f", """
+WITH RECURSIVE d AS (SELECT site_id, ts, CAST(CASE WHEN day(local_date) BETWEEN 8 AND 20 AND dni_dhi_source <> 'no_sun' THEN 0 WHEN dni_dhi_source IN ('native','erbs_from_ghi','kasten_synthetic') THEN 1 ELSE 0 END AS DOUBLE) AS good FROM hourly_log WHERE solar_factor > 0),
+w AS (SELECT *, avg(good) OVER (PARTITION BY site_id ORDER BY ts ROWS 23 PRECEDING) AS share, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM d),
+c AS (SELECT site_id, ts, p, share, false AS raised, false AS changed FROM w WHERE p = 23
+ UNION ALL SELECT w.site_id, w.ts, w.p, w.share, CASE WHEN w.share < 0.1 THEN true WHEN w.share >= 0.5 THEN false ELSE c.raised END, CASE WHEN w.share < 0.1 THEN true WHEN w.share >= 0.5 THEN false ELSE c.raised END <> c.raised
+ FROM c JOIN w ON w.site_id = c.site_id AND w.p = c.p + 1)
+SELECT site_id, ts, raised, share FROM c WHERE changed""")
 def _(t):
     def hours():
         bad = F.dayofmonth("local_date").between(8, 20)
