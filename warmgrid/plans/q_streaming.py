@@ -65,9 +65,10 @@ def _(t):
 def _(t):
     path = f"{checkpoint_root(t.spark)}/warmgrid/{t.spark.sparkContext.applicationId}/{uuid.uuid4().hex}/days"
 
-    def build(days):
-        d = t.readings.withColumn("local_date", F.col("hr").cast("date")).join(days, ["site_id", "local_date"], "left_semi")
-        return d.groupBy("site_id", "local_date").agg((F.sum("value") / 100).alias("kwh"), F.count("*").alias("n"))
+    def build(touched):
+        d = t.readings.withColumns({"local_date": F.col("hr").cast("date"), "site_bucket": J.site_bucket()})
+        d = d.join(touched, ["site_bucket", "local_date"], "left_semi")
+        return d.groupBy("site_id", "site_bucket", "local_date").agg((F.sum("value") / 100).alias("kwh"), F.count("*").alias("n"))
 
     s = event_stream(t).select("site_id", F.col("ts").cast("date").alias("local_date"))
     q = s.writeStream.foreachBatch(J.touched_days_writer(path, build)).option("checkpointLocation", path + "_cp").trigger(availableNow=True).start()

@@ -50,17 +50,25 @@ def stream_daily_rollup(samples: DataFrame, delay: str = "2 hours") -> DataFrame
     ).select("site_id", F.to_date("window.start").alias("local_date"), "n_hours", "temp", "samples", (F.col("n_hours") >= K.MIN_DAY_HOURS).alias("complete"))
 
 
+SITE_BUCKETS = 256
+
+
+def site_bucket(site="site_id"):
+    """Folder bucket of a site: keeps a fleet's day folders few and of useful size."""
+    return F.pmod(F.col(site), F.lit(SITE_BUCKETS)).cast("int")
+
+
 def touched_days_writer(path: str, build):
-    """foreachBatch body: rebuild and overwrite only the days the batch touched.
+    """foreachBatch body: rebuild and overwrite only the (site bucket, day) folders the batch touched.
 
-    ``build(days)`` recomputes those days from the stored hours, so unit maps and late
-    hours come out right, and a replayed batch writes the same files.
+    ``build(touched)`` recomputes every site of those folders from the stored hours, so
+    unit maps and late hours come out right, and a replayed batch writes the same files.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        days = batch.select("site_id", "local_date").distinct()
-        out = build(days)
-        # dynamic overwrite replaces only the partitions present in this batch
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id", "local_date").parquet(path)
+        touched = batch.select(site_bucket().alias("site_bucket"), "local_date").distinct()
+        out = build(touched)
+        # dynamic overwrite replaces only the folders present in this batch
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date", "site_bucket").parquet(path)
 
     return write
 
