@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmgrid.llm import langid
+from warmgrid.llm import editprint, langid, tokencount
 from warmgrid.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = langid.fit(docs.where(~held_out))
     scored = langid.predict(docs.select("doc_id", "text"), net)
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.compare_with_next(table(spark, sf_dir, "documents"))
