@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmgrid.llm import editprint, langid, tokencount
-from warmgrid.llm.common import id_remainder, table
+from warmgrid.llm import editprint, langid, quality, tokencount
+from warmgrid.llm.common import id_remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality.document_statistics(table(spark, sf_dir, "documents")), "quality-stats")
+    held_out = id_remainder("doc_id", 5) == 0
+    trees = quality.fit(stats, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(stats, trees)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
