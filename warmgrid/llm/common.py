@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+def range_block(key: Column, edges: np.ndarray) -> Column:
+    """Number of ``edges`` at or below ``key``: the range that holds it."""
+    edges = np.asarray(edges, np.int64)
+
+    @F.pandas_udf("int")
+    def block(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, k.to_numpy(), "right").astype(np.int32))
+
+    return block(key) if len(edges) else F.lit(0)
+
+
 # -- texts inside tasks -------------------------------------------------------------
 
 
