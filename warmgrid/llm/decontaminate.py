@@ -25,6 +25,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from warmgrid.llm.common import bounded
 
@@ -164,7 +165,7 @@ def hits(docs: DataFrame, items: list[Item]) -> DataFrame:
     """``docs`` with ``hits``: the items of one block found in each text, with their distance."""
     block = docs.sparkSession.sparkContext.broadcast(items)
     plain = docs.withColumn("_norm", normalised(F.col("text")))
-    schema = docs.schema.add("hits", "array<struct<item_id:long,distance:int>>")
+    schema = StructType(docs.schema.fields + StructType.fromDDL("hits array<struct<item_id:bigint,distance:int>>").fields)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from warmgrid.llm.common import bounded, utf8
 
@@ -191,7 +192,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     if net is None:
         return base.drop("_letters").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     model = spark.sparkContext.broadcast((net.tables(), net.dense, net.out_bias, net.labels))
-    schema = base.drop("_letters").schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(base.drop("_letters").schema.fields + StructType.fromDDL("lang_pred string, score double").fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, dense, out, labels = model.value
