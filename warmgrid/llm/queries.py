@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmgrid.llm import decontaminate, editprint, langid, mixing, quality, tokencount, warc
+from warmgrid.llm import chosenpath, decontaminate, editprint, langid, mixing, quality, tokencount, warc
 from warmgrid.llm.common import id_remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"),
         F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"))
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
