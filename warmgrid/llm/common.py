@@ -144,13 +144,19 @@ _ROOT = np.uint64(0x5851F42D4C957F2D)
 _BACK = np.uint64(pow(int(_ROOT), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    if n:
+    """The first ``n`` powers modulo 2^64; kept for the texts to come up to a few megabytes."""
+    out = _POWERS.get(int(base))
+    if out is None or len(out) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
-        out[1:] = base
         np.multiply.accumulate(out, out=out)
-    return out
+        if n <= 1 << 22:
+            _POWERS[int(base)] = out
+    return out[:n]
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmgrid.llm import chosenpath, decontaminate, editprint, langid, linededup, mixing, quality, tokencount, warc
+from warmgrid.llm import chosenpath, decontaminate, editprint, langid, linededup, mixing, quality, recurrent, tokencount, warc
 from warmgrid.llm.common import id_remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 7) == 2
+    return recurrent.score_documents(table(spark, sf_dir, "documents"), ~held_out, {"held_out": held_out})
