@@ -43,15 +43,20 @@ def daily_accuracy(hourly: DataFrame, snapshot: DataFrame) -> DataFrame:
 def source_breakdown(hourly: DataFrame) -> DataFrame:
     """Per day and provider: hours, forecast, actual, error and weather error."""
     gross = nz("actual_kwh") + nz("aux_impact_kwh") - nz("guest_impact_kwh")
-    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"forecasted_kwh_{s}").alias("net"), F.col(f"forecasted_kwh_gross_{s}").alias("gross")) for s in SOURCES])
-    d = hourly.select("site_id", "local_date", gross.alias("g"), nz("actual_kwh").alias("n"), (nz("expected_kwh") + nz("aux_impact_kwh")).alias("m"), F.explode(rows).alias("f"))
+    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"forecasted_kwh_{s}").alias("net"), F.col(f"forecasted_kwh_gross_{s}").alias("gross"), F.col(f"{s}_entity").alias("entity")) for s in SOURCES])
+    d = hourly.select("site_id", "local_date", "ts", gross.alias("g"), nz("actual_kwh").alias("n"), (nz("expected_kwh") + nz("aux_impact_kwh")).alias("m"), F.explode(rows).alias("f"))
     d = d.filter("f.net is not null")
     f = F.coalesce("f.gross", "f.net")
     err = F.when(F.col("f.gross").isNotNull(), F.col("g")).otherwise(F.col("n")) - f
     werr = F.when(F.col("f.gross").isNotNull(), F.col("m") - F.col("f.gross"))
     return d.groupBy("site_id", "local_date", F.col("f.source").alias("source")).agg(
         F.count(F.lit(1)).alias("hours"), rnd(F.sum(f), 2).alias("forecast"), rnd(F.sum("g"), 2).alias("actual"), rnd(F.sum(err), 2).alias("error"),
-        rnd(F.sum(F.abs(err)), 2).alias("abs_error"), rnd(nz(F.sum(werr)), 2).alias("weather_error"), rnd(nz(F.sum(F.abs(werr))), 2).alias("abs_weather_error"))
+        rnd(F.sum(F.abs(err)), 2).alias("abs_error"), rnd(nz(F.sum(werr)), 2).alias("weather_error"), rnd(nz(F.sum(F.abs(werr))), 2).alias("abs_weather_error"), F.max_by("f.entity", "ts").alias("entity"))
+
+
+def for_current_provider(breakdown: DataFrame, current: DataFrame) -> DataFrame:
+    """Only days whose provider is the one in use now; ``current`` has site_id, source and entity."""
+    return breakdown.join(current.select("site_id", "source", "entity"), ["site_id", "source", "entity"], "left_semi")
 
 
 def accuracy_map(breakdown: DataFrame) -> DataFrame:
@@ -83,14 +88,16 @@ def forecast_uncertainty(history: DataFrame, current: DataFrame) -> DataFrame:
                     F.coalesce(rnd(F.col("p")[1], 2), F.lit(K.UNCERTAINTY_P95)).alias("p95"), nz("samples", 0).alias("samples"))
 
 
-def source_uncertainty(breakdown: DataFrame) -> DataFrame:
+def source_uncertainty(breakdown: DataFrame, current: DataFrame) -> DataFrame:
+    breakdown = for_current_provider(breakdown, current)
     p = F.percentile("abs_error", F.array(F.lit(0.5), F.lit(0.95)))
     a = breakdown.groupBy("site_id", "source").agg(p.alias("p"), F.count(F.lit(1)).alias("samples"))
     return a.select("site_id", "source", rnd(F.col("p")[0], 2).alias("p50"), rnd(F.col("p")[1], 2).alias("p95"), "samples")
 
 
-def period_accuracy(breakdown: DataFrame, as_of: Column, days=(7, 30)) -> DataFrame:
-    """Trailing MAE, MAPE and weather error per provider, both windows in one scan."""
+def period_accuracy(breakdown: DataFrame, as_of: Column, current: DataFrame, days=(7, 30)) -> DataFrame:
+    """Trailing MAE, MAPE and weather error of the current provider of each kind, both windows in one scan."""
+    breakdown = for_current_provider(breakdown, current)
     tags = F.array_compact(F.array(*[F.when(F.col("local_date") >= F.date_sub(as_of, d), F.lit(d)) for d in days]))
     b = breakdown.filter(F.col("local_date") >= F.date_sub(as_of, max(days))).withColumn("days", F.explode(tags))
     a = b.groupBy("site_id", "source", "days").agg(
@@ -196,11 +203,10 @@ def shadow_forecasts(weather_by_source: DataFrame, modes: DataFrame, models: Mod
 
 
 def midnight_snapshot(plans: DataFrame) -> DataFrame:
-    """The last plan issued at or before midnight, per target hour of the day."""
-    ok = F.col("issued_at") <= F.col("local_date").cast("timestamp_ntz")
-    cols = [x for x in plans.columns if x not in ("site_id", "local_date", "hour", "issued_at")]
-    return plans.filter(ok).groupBy("site_id", "local_date", "hour").agg(
-        F.max("issued_at").alias("issued_at"), F.max_by(F.struct(*cols), "issued_at").alias("p")).select("site_id", "local_date", "hour", "issued_at", "p.*")
+    """The last plan issued at or before midnight of each site-day, as a whole: hours of earlier plans don't fill it up."""
+    known = plans.filter(F.col("issued_at") <= F.col("local_date").cast("timestamp_ntz"))
+    last = known.groupBy("site_id", "local_date").agg(F.max("issued_at").alias("issued_at"))
+    return known.join(last, ["site_id", "local_date", "issued_at"])
 
 
 def forecast_summary(hour_plan: DataFrame, unit_plan: DataFrame, k: int = 3) -> DataFrame:

@@ -16,18 +16,31 @@ def dedupe_hours(hours: DataFrame, seq: str) -> DataFrame:
 
 
 def rename_unit(table: DataFrame, site: int, old: str, new: str) -> DataFrame:
-    """Re-key a unit in a long table and in any unit-keyed map column."""
+    """Re-key a unit in a long table and in any unit-keyed map column.
+
+    Where a map holds both names, numbers add up and of other values the renamed unit's stays.
+    A long table may hold both names' rows afterwards; ``merge_renamed`` adds them up.
+    """
     here = F.col("site_id") == site
     out = {}
     for f in table.schema.fields:
         if f.name == "unit_id":
             out[f.name] = F.when(here & (F.col("unit_id") == old), F.lit(new)).otherwise(F.col("unit_id"))
         elif f.dataType.typeName() == "map":
-            swapped = F.transform_keys(f.name, lambda k, v: F.when(k == old, F.lit(new)).otherwise(k))
-            out[f.name] = F.when(here, swapped).otherwise(F.col(f.name))
+            number = f.dataType.valueType.typeName() in ("double", "float", "long", "integer", "decimal")
+            value = nz(F.element_at(f.name, old)) + nz(F.element_at(f.name, new)) if number else F.element_at(f.name, old)
+            others = F.map_filter(f.name, lambda k, v: (k != old) & (k != new))
+            swapped = F.map_concat(others, F.create_map(F.lit(new), value.cast(f.dataType.valueType)))
+            out[f.name] = F.when(here & F.map_contains_key(f.name, old), swapped).otherwise(F.col(f.name))
     return table.withColumns(out)
 
 
+def merge_renamed(table: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Rows of equal keys as one: ``sums`` add up, of other columns one value stays."""
+    rest = [x for x in table.columns if x not in (*keys, *sums)]
+    return table.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in sums], *[F.first(x, ignorenulls=True).alias(x) for x in rest]).select(*table.columns)
+
+
 def redistribute_aux(unit_aux: DataFrame, unit_base: DataFrame, removed: DataFrame, usage: DataFrame) -> DataFrame:
     """Share removed units' aux coefficients among the remaining ones of the site.
 

@@ -37,7 +37,7 @@ def report_model(hourly: DataFrame, hourly_unit: DataFrame, base_model: DataFram
     """Model health as long rows: inversions, coverage, contamination, solar fit, cell verdicts."""
     inv = monotonicity(base_model).groupBy("site_id", "wind_bucket").agg(F.count(F.lit(1)).alias("n"), F.max("delta").alias("d"))
     cov = A.plan_coverage(base_model)
-    bad = A.mode_contamination(hourly_unit, 10**6).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.sum("excluded_kwh").alias("k"))
+    bad = A.mode_contamination(hourly_unit, None).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.sum("excluded_kwh").alias("k"))
     sol = solar_error_correlation(hourly)
     dark = A.dark_hour_baseline(hourly, base_model).groupBy("site_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
     parts = [

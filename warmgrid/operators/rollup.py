@@ -252,13 +252,15 @@ def accumulated_impacts(hourly: DataFrame, hourly_unit: DataFrame) -> DataFrame:
         "heating_kwh": nz("regime_heating_kwh"), "cooling_kwh": nz("regime_cooling_kwh")})
 
 
-def mode_contamination(hourly_unit: DataFrame, last: int = 10) -> DataFrame:
-    """Excluded-mode hours and kWh per day, for the latest contaminated days of each site."""
+def mode_contamination(hourly_unit: DataFrame, last: int | None = 10) -> DataFrame:
+    """Excluded-mode hours and kWh per day, for the latest (or all) contaminated days of each site."""
     bad = F.col("mode").isin(*K.EXCLUDED_MODES)
     d = hourly_unit.groupBy("site_id", "local_date").agg(
         F.count_if(bad).alias("excluded_hours"), sum_if(bad, "actual_kwh").alias("excluded_kwh"),
         *[F.count_if(F.col("mode") == m).alias(f"n_{m}") for m in ("cooling", "off", "dhw", "guest_heating", "guest_cooling")],
     ).filter(F.col("excluded_hours") > 0)
+    if last is None:
+        return d
     w = Window.partitionBy("site_id").orderBy(F.col("local_date").desc())
     return d.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= last)
 

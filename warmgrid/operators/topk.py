@@ -53,11 +53,13 @@ def extreme_days(days: DataFrame, group: list[str]) -> DataFrame:
         F.min_by("local_date", F.struct("kwh", "local_date")).alias("lightest"))
 
 
-def model_diff_topk(before: DataFrame, after: DataFrame, keys: list[str], k: int = 200) -> DataFrame:
-    """Largest cell changes between two model tables."""
+def model_diff_topk(before: DataFrame, after: DataFrame, keys: list[str], group: list[str], k: int = 200) -> DataFrame:
+    """Largest ``k`` cell changes of each ``group`` between two model tables, and how many cells of it changed."""
     j = before.select(*keys, F.col("kwh").alias("b")).join(after.select(*keys, F.col("kwh").alias("a")), keys, "full")
     j = j.select(*keys, nz("b").alias("before"), nz("a").alias("after")).withColumn("delta", rnd(F.col("after") - F.col("before"), 9))
-    return j.filter(F.col("delta") != 0).orderBy(F.abs("delta").desc(), *keys).limit(k)
+    changed = j.filter(F.col("delta") != 0)
+    counts = changed.groupBy(*group).agg(F.count(F.lit(1)).alias("buckets_changed"))
+    return ranked(changed, group, [F.abs("delta").desc(), *[F.col(x) for x in keys]], k).join(counts, group)
 
 
 def bucket_flags_ranked(health: DataFrame) -> DataFrame:

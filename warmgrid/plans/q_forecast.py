@@ -11,10 +11,12 @@ from warmgrid.sources.fixture_tables import add_oracle_tables
 add_oracle_tables(
     day_sources="""
 SELECT site_id, local_date, source, count(*) AS hours, round(sum(f) + 1e-9, 2) AS forecast, round(sum(g) + 1e-9, 2) AS actual, round(sum(e) + 1e-9, 2) AS error, round(sum(abs(e)) + 1e-9, 2) AS abs_error,
- round(coalesce(sum(w), 0) + 1e-9, 2) AS weather_error, round(coalesce(sum(abs(w)), 0) + 1e-9, 2) AS abs_weather_error FROM (
-SELECT site_id, local_date, source, g, coalesce(fg, fn) AS f, CASE WHEN fg IS NOT NULL THEN g ELSE actual_kwh END - coalesce(fg, fn) AS e, expected_kwh + aux_impact_kwh - fg AS w FROM (
- SELECT *, actual_kwh + aux_impact_kwh - guest_impact_kwh AS g, 'primary' AS source, forecasted_kwh_primary AS fn, forecasted_kwh_gross_primary AS fg FROM hourly_log
- UNION ALL SELECT *, actual_kwh + aux_impact_kwh - guest_impact_kwh, 'secondary', forecasted_kwh_secondary, forecasted_kwh_gross_secondary FROM hourly_log) WHERE fn IS NOT NULL) GROUP BY 1, 2, 3""",
+ round(coalesce(sum(w), 0) + 1e-9, 2) AS weather_error, round(coalesce(sum(abs(w)), 0) + 1e-9, 2) AS abs_weather_error, arg_max(entity, ts) AS entity FROM (
+SELECT site_id, local_date, source, ts, entity, g, coalesce(fg, fn) AS f, CASE WHEN fg IS NOT NULL THEN g ELSE actual_kwh END - coalesce(fg, fn) AS e, expected_kwh + aux_impact_kwh - fg AS w FROM (
+ SELECT *, actual_kwh + aux_impact_kwh - guest_impact_kwh AS g, 'primary' AS source, primary_entity AS entity, forecasted_kwh_primary AS fn, forecasted_kwh_gross_primary AS fg FROM hourly_log
+ UNION ALL SELECT *, actual_kwh + aux_impact_kwh - guest_impact_kwh, 'secondary', secondary_entity, forecasted_kwh_secondary, forecasted_kwh_gross_secondary FROM hourly_log) WHERE fn IS NOT NULL) GROUP BY 1, 2, 3""",
+    current_sources="""
+SELECT * FROM day_sources WHERE entity = CASE WHEN source = 'secondary' THEN 'met_c' WHEN site_id % 2 = 0 THEN 'met_a' ELSE 'met_b' END""",
     accuracy_days="""
 SELECT h.*, round(s.kwh + 1e-9, 2) AS forecast_kwh, round(g + 1e-9, 2) AS actual_kwh, round(n + 1e-9, 2) AS net_actual_kwh, round(m + 1e-9, 2) AS modeled_kwh, round(g - s.kwh + 1e-9, 2) AS error_kwh, round(abs(g - s.kwh) + 1e-9, 2) AS abs_error_kwh FROM (
 SELECT site_id, local_date, sum(actual_kwh + aux_impact_kwh - guest_impact_kwh) AS g, sum(actual_kwh) AS n, sum(expected_kwh + aux_impact_kwh) AS m, arg_max(primary_entity, ts) AS primary_entity,
@@ -23,6 +25,12 @@ SELECT site_id, local_date, sum(actual_kwh + aux_impact_kwh - guest_impact_kwh)
 JOIN (SELECT site_id, local_date, sum(expected_kwh) * 1.02 AS kwh FROM hourly_log GROUP BY 1, 2) s ON h.site_id = s.site_id AND h.local_date = s.local_date""")
 
 
+def current_sources(t):
+    """The providers in use now; some sites had another one earlier in the month."""
+    primary = t.sites.select("site_id", F.lit("primary").alias("source"), F.when(F.col("site_id") % 2 == 0, "met_a").otherwise("met_b").alias("entity"))
+    return primary.unionAll(t.sites.select("site_id", F.lit("secondary").alias("source"), F.lit("met_c").alias("entity")))
+
+
 def snapshot(t):
     return t.hourly_log.groupBy("site_id", "local_date").agg((F.sum("expected_kwh") * 1.02).alias("kwh"), F.lit("primary").alias("source"))
 
@@ -61,16 +69,16 @@ def _(t):
 
 
 @query("source_uncertainty", "D12", "site_id:i source:s p50:f p95:f samples:i", """
-SELECT site_id, source, round(quantile_cont(abs_error, 0.5) + 1e-9, 2) AS p50, round(quantile_cont(abs_error, 0.95) + 1e-9, 2) AS p95, count(*) AS samples FROM day_sources GROUP BY 1, 2""")
+SELECT site_id, source, round(quantile_cont(abs_error, 0.5) + 1e-9, 2) AS p50, round(quantile_cont(abs_error, 0.95) + 1e-9, 2) AS p95, count(*) AS samples FROM current_sources GROUP BY 1, 2""")
 def _(t):
-    return X.source_uncertainty(X.source_breakdown(t.hourly_log))
+    return X.source_uncertainty(X.source_breakdown(t.hourly_log), current_sources(t))
 
 
 @query("period_accuracy", "W13", "site_id:i source:s days:i samples:i hourly_mae:f hourly_mape:f daily_mae:f daily_mape:f weather_mae:f weather_bias:f", """
 SELECT site_id, source, days, n AS samples, round(h / n + 1e-9, 2) AS hourly_mae, round(h / a * 100 + 1e-9, 1) AS hourly_mape, round(d / n + 1e-9, 2) AS daily_mae, round(d / a * 100 + 1e-9, 1) AS daily_mape, round(w + 1e-9, 2) AS weather_mae, round(b + 1e-9, 2) AS weather_bias FROM (
-SELECT site_id, source, days, count(*) AS n, sum(abs_error) AS h, sum(abs(error)) AS d, sum(actual) AS a, avg(abs(weather_error)) AS w, avg(weather_error) AS b FROM day_sources JOIN (SELECT unnest([7, 30]) AS days) ON local_date >= DATE '2024-01-30' - CAST(days AS INT) GROUP BY 1, 2, 3)""")
+SELECT site_id, source, days, count(*) AS n, sum(abs_error) AS h, sum(abs(error)) AS d, sum(actual) AS a, avg(abs(weather_error)) AS w, avg(weather_error) AS b FROM current_sources JOIN (SELECT unnest([7, 30]) AS days) ON local_date >= DATE '2024-01-30' - CAST(days AS INT) GROUP BY 1, 2, 3)""")
 def _(t):
-    return X.period_accuracy(X.source_breakdown(t.hourly_log), F.to_date(F.lit("2024-01-30")))
+    return X.period_accuracy(X.source_breakdown(t.hourly_log), F.to_date(F.lit("2024-01-30")), current_sources(t))
 
 
 @query("week_horizon_error", "W14", "site_id:i samples:i p50:f p95:f", """
@@ -161,11 +169,12 @@ def _(t):
 
 
 @query("midnight_snapshot", "X6", "site_id:i local_date:d hour:i issued_at:t temperature:f", """
-SELECT site_id, local_date, hour, issued_at, temperature FROM (SELECT *, row_number() OVER (PARTITION BY site_id, local_date, hour ORDER BY issued_at DESC) AS rk FROM (
-SELECT *, ts - to_hours(CAST(CASE WHEN source = 'primary' THEN 5 + hour % 9 ELSE 20 + hour % 3 END AS INT)) AS issued_at FROM forecast_items) WHERE issued_at <= CAST(local_date AS TIMESTAMP)) WHERE rk = 1""")
+SELECT site_id, local_date, hour, issued_at, temperature FROM (SELECT *, rank() OVER (PARTITION BY site_id, local_date ORDER BY issued_at DESC) AS rk FROM (
+SELECT *, CAST(local_date AS TIMESTAMP) - to_hours(CAST(CASE WHEN source = 'primary' THEN (site_id + day(local_date)) % 9 - 2 ELSE 3 END AS INT)) AS issued_at FROM forecast_items) WHERE issued_at <= CAST(local_date AS TIMESTAMP)) WHERE rk = 1""")
 def _(t):
-    back = F.when(F.col("source") == "primary", 5 + F.col("hour") % 9).otherwise(20 + F.col("hour") % 3).cast("int")
-    p = t.forecast.withColumn("issued_at", F.col("ts") - F.make_dt_interval(hours=back))
+    # two overlapping plans a day; the primary one is sometimes issued after midnight, sometimes before the other
+    back = F.when(F.col("source") == "primary", (F.col("site_id") + F.dayofmonth("local_date")) % 9 - 2).otherwise(3).cast("int")
+    p = t.forecast.withColumn("issued_at", F.col("local_date").cast("timestamp_ntz") - F.make_dt_interval(hours=back))
     return X.midnight_snapshot(p.select("site_id", "local_date", "hour", "issued_at", "temperature", "source"))
 
 

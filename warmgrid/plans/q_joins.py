@@ -244,12 +244,13 @@ def _(t):
     return K.extreme_days(t.daily.withColumn("month", F.date_format("local_date", "yyyy-MM")), ["site_id", "month"])
 
 
-@query("model_diff_topk", "K5", "site_id:i temp_key:i wind_bucket:s before:f after:f delta:f", """
+@query("model_diff_topk", "K5", "site_id:i temp_key:i wind_bucket:s before:f after:f delta:f rank:i buckets_changed:i", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY abs(delta) DESC, site_id, temp_key, wind_bucket) AS rank, count(*) OVER (PARTITION BY site_id) AS buckets_changed FROM (
 SELECT *, round(after - before + 1e-9, 9) AS delta FROM (SELECT coalesce(a.site_id, b.site_id) AS site_id, coalesce(a.temp_key, b.temp_key) AS temp_key, coalesce(a.wind_bucket, b.wind_bucket) AS wind_bucket,
  coalesce(b.kwh, 0) AS before, coalesce(a.kwh, 0) AS after FROM simple_base a FULL JOIN patchy_base b ON a.site_id = b.site_id AND a.temp_key = b.temp_key AND a.wind_bucket = b.wind_bucket)
-WHERE round(after - before + 1e-9, 9) <> 0 ORDER BY abs(round(after - before + 1e-9, 9)) DESC, site_id, temp_key, wind_bucket LIMIT 200""")
+WHERE round(after - before + 1e-9, 9) <> 0)) WHERE rank <= 200""")
 def _(t):
-    return K.model_diff_topk(patchy_base(t), simple_base(t), ["site_id", "temp_key", "wind_bucket"])
+    return K.model_diff_topk(patchy_base(t), simple_base(t), ["site_id", "temp_key", "wind_bucket"], ["site_id"])
 
 
 @query("bucket_flags_ranked", "K6", "site_id:i verdict:s temp_key:i wind_bucket:s delta_pct:f rank:i", """
@@ -279,10 +280,11 @@ def _(t):
 
 
 @query("rename_unit", "U2", "site_id:i ts:t unit_id:s kwh:f", """
-SELECT site_id, ts, CASE WHEN site_id = 0 AND unit_id = 'unit_1' THEN 'attic' ELSE unit_id END AS unit_id, actual_kwh AS kwh FROM hourly_unit""")
+SELECT site_id, ts, CASE WHEN site_id = 0 AND unit_id = 'unit_1' THEN 'unit_2' ELSE unit_id END AS unit_id, sum(actual_kwh) AS kwh FROM hourly_unit GROUP BY 1, 2, 3""")
 def _(t):
+    # the new name is already in use: the two units' values add up
     maps = t.hourly_unit.groupBy("site_id", "ts").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "actual_kwh"))).alias("unit_breakdown"))
-    return U.rename_unit(maps, 0, "unit_1", "attic").select("site_id", "ts", F.explode("unit_breakdown").alias("unit_id", "kwh"))
+    return U.rename_unit(maps, 0, "unit_1", "unit_2").select("site_id", "ts", F.explode("unit_breakdown").alias("unit_id", "kwh"))
 
 
 @query("redistribute_aux", "U3", "site_id:i unit_id:s temp_key:i wind_bucket:s kw:f", """

@@ -134,7 +134,7 @@ LOG_COLUMNS = {
     "forecasted_kwh_secondary": "CASE WHEN n % 2 = 0 THEN round(n_units * (0.2 + 0.03 * abs(17.0 - temp)) * 1.15 + 1e-9, 4) END",
     "forecasted_kwh_gross_secondary": "CASE WHEN n % 4 = 2 THEN round(n_units * (0.2 + 0.03 * abs(17.0 - temp)) * 1.2 + 1e-9, 4) END",
     "forecast_source": "CASE WHEN n % 3 = 0 THEN 'secondary' ELSE 'primary' END",
-    "primary_entity": "CASE WHEN site_id % 2 = 0 THEN 'met_a' ELSE 'met_b' END",
+    "primary_entity": "CASE WHEN site_id % 3 = 0 AND local_date < DATE '2024-01-12' THEN 'met_old' WHEN site_id % 2 = 0 THEN 'met_a' ELSE 'met_b' END",
     "secondary_entity": "'met_c'",
     "crossover_day": "4",
 }

@@ -21,7 +21,10 @@ def _raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def _typed(raw: DataFrame, mapping: dict[str, str], zone: str) -> DataFrame:
-    """Mapped text columns to typed ones; a timestamp without offset is local time of ``zone``."""
+    """Mapped text columns to typed ones; a timestamp without offset is local time of ``zone``.
+
+    ``ts`` is the instant in UTC; ``hour`` and ``local_date`` are those of the site's clock.
+    """
     def num(name):
         return F.expr(f"try_cast(`{mapping[name]}` AS DOUBLE)") if name in mapping else F.lit(None).cast("double")
 
@@ -33,7 +36,8 @@ def _typed(raw: DataFrame, mapping: dict[str, str], zone: str) -> DataFrame:
     d = raw.select(site.alias("site_id"), utc.alias("ts"), num("temperature").alias("temp"), num("energy").alias("actual_kwh"),
                    num("wind_speed").alias("wind_speed"), num("wind_gust").alias("wind_gust"), F.coalesce(aux, F.lit(False)).alias("auxiliary_active"),
                    num("cloud_coverage").alias("cloud_coverage"), rnd(num("direct_normal_irradiance"), 2).alias("dni"), rnd(num("diffuse_radiation"), 2).alias("dhi"))
-    return d.filter("ts is not null").withColumns({"hour": F.hour("ts"), "local_date": F.to_date("ts")})
+    clock = F.from_utc_timestamp("ts", zone)
+    return d.filter("ts is not null").withColumns({"hour": F.hour(clock), "local_date": F.to_date(clock)})
 
 
 def read_history_csv(spark: SparkSession, path: str, mapping: dict[str, str], columns: list[str], sites: DataFrame, zone: str = "UTC") -> DataFrame:

@@ -10,18 +10,19 @@ from warmgrid.session import checkpoint_root
 from warmgrid.streaming.jobs import ROCKS
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """Process everything available, commit, and read the sink back.
 
-    Both the sink and the offsets live under the shared checkpoint folder, so a
-    restarted driver resumes where it stopped.
+    Sink and offsets live under ``folder``; a restarted driver that names the same
+    folder resumes where it stopped. Without one a new folder is taken under the
+    shared checkpoint folder. ``state_partitions`` fixes the state's partitions at
+    the first start; otherwise the session's shuffle partitions hold.
     """
-    base = f"{checkpoint_root(spark)}/warmgrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    base = folder or f"{checkpoint_root(spark)}/warmgrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    if spark.sparkContext.master.startswith("local"):
-        # a stream fixes its state partitions at first start; one per core is enough in one process
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     try:
         _finish(stream, base, mode)
     finally:
