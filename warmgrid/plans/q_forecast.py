@@ -102,7 +102,7 @@ s AS (SELECT c.*, x.sun_elev, x.sun_azim, CASE WHEN x.sun_elev <= 0 THEN 0.0 ELS
  FROM c JOIN site_solar x ON c.site_id = x.site_id AND c.ts = x.ts)
 SELECT site_id, ts, local_date, hour, it AS temp, CAST(round_even(it, 0) AS INT) AS temp_key, ew AS effective_wind, CASE WHEN ew >= 10.8 THEN 'extreme_wind' WHEN ew >= 8 THEN 'high_wind' ELSE 'normal' END AS wind_bucket, false AS auxiliary_active,
  round(sky * greatest(0, -cos(radians(sun_azim))) + 1e-9, 5) AS pot_s, round(sky * greatest(0, sin(radians(sun_azim))) + 1e-9, 5) AS pot_e, round(sky * greatest(0, -sin(radians(sun_azim))) + 1e-9, 5) AS pot_w FROM s""",
-    plan_modes="SELECT site_id, unit_id, ts, mode FROM hourly_unit WHERE local_date < DATE '2024-01-01'",
+    plan_modes="SELECT site_id, unit_id, ts, mode FROM hourly_unit",
     plan_scores=score_sql("plan_weather", "plan_modes"))
 
 
@@ -111,13 +111,9 @@ def plan_weather(t):
         t.forecast.filter("source = 'primary' and local_date >= '2024-01-21'"), t.hourly_log.filter("local_date < '2024-01-21'"), t.sites))
 
 
-def no_modes(t):
-    return t.hourly_unit.filter("local_date < '2024-01-01'")
-
-
 @query("forecast_hours", "X1 S7", "site_id:i ts:t total_kwh:f base_kwh:f solar_kwh:f heating_kwh:f cooling_kwh:f", "SELECT * FROM plan_scores")
 def _(t):
-    return X.forecast_hours(plan_weather(t), no_modes(t), models(t))
+    return X.forecast_hours(plan_weather(t), t.hourly_unit, models(t))
 
 
 @query("forecast_day", "X2", "site_id:i local_date:d hour:i how:s temperature:f wind_speed:f", """
