@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +44,16 @@ def shared_folder(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not named:
             named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-            atexit.register(_forget, spark, f"{named}/llm-{app}")
+            atexit.register(_clear, f"{named}/llm-{app}")
         _SCRATCH[app] = f"{named.rstrip('/')}/llm-{app}"
     return _SCRATCH[app]
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete(spark, path)
+def _clear(folder: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -62,13 +65,10 @@ def delete(spark: SparkSession, path: str) -> None:
 class Stored:
     """A table written once to the shared folder; ``drop`` frees its space when no reader is left."""
 
-    def __init__(self, df: DataFrame, name: str, partition_by: list[str] | None = None):
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         self.schema = df.schema
 
     @property

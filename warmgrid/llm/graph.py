@@ -39,6 +39,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct()
 
 
+FILTER_BITS = 22
+
+
+def sift(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in ``wanted`` (one column of that name); none that is gets lost.
+
+    A filter of 2^FILTER_BITS hashed bits is all that is broadcast (at most 2^16 words of 64 bits),
+    so a join with few wanted keys need not shuffle all rows of ``df``.
+    """
+    place = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(1 << FILTER_BITS))
+    bit = (place % 64).cast("int")
+    own = wanted.select(F.floor(place / 64).alias("_word"), bit.alias("_b"))
+    words = Stored(own.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_mask")), "filter")
+    met = df.withColumns({"_word": F.floor(place / 64), "_b": bit}).join(F.broadcast(words.df), "_word")
+    return met.where(F.expr("shiftrightunsigned(_mask, _b) & 1L") == 1).select(*df.columns)
+
+
 def cross_pairs(rows: DataFrame, keep) -> DataFrame:
     """Distinct pairs (a < b) of the ids that share a ``key`` but not a component.
 
