@@ -318,3 +318,17 @@ def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark):
     assert not seen[0] & {9100, 9101} and 9102 not in seen[1] and 9103 in seen[2] and 9103 not in seen[3]
     assert all(9000 + k in seen[3] for k in range(12))
     assert corpus_pipeline.run(spark, SF).columns == docs.columns
+
+
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    assert (chosenpath.trees_for(85), chosenpath.agree_for(85)) == (4, 40) and (chosenpath.trees_for(80), chosenpath.agree_for(80)) == (5, 35)
+    rows = []
+    for k in range(40):  # two exchanged words of 100: 86 shingles of 106 in common, a similarity of 0.811
+        words = [f"w{k}x{i}" for i in range(100)]
+        rows.append((2 * k, " ".join(words)))
+        words[30 + k % 10] = words[60 + k % 20] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    want = brute_components(rows, 80)
+    assert set(want.values()) == set(range(0, 80, 2)) and len(set(brute_components(rows).values())) == 80
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values())

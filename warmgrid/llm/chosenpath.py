@@ -5,8 +5,8 @@ A document's set holds its distinct five-word shingles; its signature holds, for
 representatives go on. In each of several independent trees a node selects two of
 the 64 positions by a hash of its path and branches its documents by their tokens there. Two sets of
 similarity s stay together along at least one branch with the survival probability of a branching
-process with mean 2 s, so at s = 0.85 one tree loses about 3 pairs in 100 however deep it is, and
-``TREES`` trees lose about one in a million; higher similarities are safer.
+process with mean 2 s, so one tree loses ((1 - s) / s)^2 of the pairs however deep it is (3 in 100 at
+0.85, 6 in 100 at 0.8), and as many trees are taken as lose one in a million; higher similarities are safer.
 
 A node of at most ``SMALL`` documents and ``WEIGHT`` shingles is compared exhaustively inside one task, first on signatures
 (pairs more than five deviations below the threshold are passed over), then, for the clusters that
@@ -23,6 +23,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,9 +36,8 @@ from warmgrid.llm.common import LOWER, Stored, bounded, mix64, stored, utf8, wor
 from warmgrid.llm.graph import components
 
 WORDS = 5
-POSITIONS, TREES, BRANCHES = 64, 4, 2
+POSITIONS, BRANCHES = 64, 2
 SMALL, WEIGHT, DEPTH = 4096, 3_000_000, 5  # documents and shingles of a node that one task compares
-AGREE = 40  # of 64 equal tokens, of which 0.85 leaves 54 on average, with a deviation under 3
 
 _RNG = np.random.default_rng(11)
 _PLACE = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -46,6 +46,21 @@ _MUL = _RNG.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np
 _SHORT = np.uint64(0xD6E8FEB86659FD93)
 
 
+def trees_for(percent: int) -> int:
+    """Trees that together lose at most one in a million pairs of that similarity."""
+    lost = ((100 - percent) / percent) ** 2
+    trees = 1 if not lost else max(1, math.ceil(math.log(1e-6) / math.log(lost))) if lost < 1 else POSITIONS
+    if trees * BRANCHES > POSITIONS:
+        raise ValueError(f"a similarity of {percent} percent is too low for {POSITIONS} positions")
+    return trees
+
+
+def agree_for(percent: int) -> int:
+    """Equal tokens of ``POSITIONS`` that pairs of that similarity have, less five deviations (40 at 85, 35 at 80)."""
+    s = percent / 100
+    return math.floor(POSITIONS * s - 5 * math.sqrt(POSITIONS * s * (1 - s)))
+
+
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts in order, and n + 1 offsets."""
     data = LOWER[data]
@@ -103,9 +118,9 @@ def _token(position: Column) -> Column:
     return F.substring(F.col("sig"), position * 4 + 1, F.lit(4))
 
 
-def first_nodes(reps: DataFrame) -> DataFrame:
-    """(key, id, n): the roots' branches, TREES x BRANCHES different positions."""
-    keys = F.array(*[F.xxhash64(F.lit(p), _token(F.lit(p))) for p in range(TREES * BRANCHES)])
+def first_nodes(reps: DataFrame, trees: int) -> DataFrame:
+    """(key, id, n): the roots' branches, trees x BRANCHES different positions."""
+    keys = F.array(*[F.xxhash64(F.lit(p), _token(F.lit(p))) for p in range(trees * BRANCHES)])
     return reps.select(F.explode(keys).alias("key"), "id", "n")
 
 
@@ -166,6 +181,7 @@ def clusters(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     The cluster's name is a hash of its members, so the same cluster found in several nodes is one.
     """
+    agree = agree_for(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = [], []
@@ -177,7 +193,7 @@ def clusters(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(own), POSITIONS)
             forest = Forest(len(own))
             for i in range(len(own) - 1):
-                near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
+                near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= agree
                 near &= 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
                 for j in np.flatnonzero(near).tolist():
                     forest.join(i, i + 1 + j)
@@ -296,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, small: int = SMALL) -> D
     members = some.select("doc_id", *keys).join(classes.where("size > 1").select(*keys, "id"), keys)
     links = stored(members.where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct(), "near-copies")
 
-    level, parts = first_nodes(reps), []
+    level, parts = first_nodes(reps, trees_for(percent)), []
     for depth in range(1, DEPTH + 1):
         sizes = stored(level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min(F.xxhash64("key", "id")).alias("first")).where("size > 1"), "near-sizes")
         rows = stored(level.drop("n").join(sizes, "key"), "near-rows")
