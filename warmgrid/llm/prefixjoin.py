@@ -16,8 +16,8 @@ shingles, and a pair goes on only if
 * suffix: the sets' counts in ``BINS`` fixed ranges of hashes differ by no more than the symmetric difference
   the similarity allows.
 
-Each pair left is verified once, on the full sets. A shingle's documents are never paired with each other
-while they may yet be found connected: they are held first against the one with the fewest rarer
+Each pair left is verified once, on the full sets. Up to ``FEW`` documents of a shingle meet as pairs. More are never paired
+with each other while they may yet be found connected: they are held first against the one with the fewest rarer
 shingles (the text the others were made from, if there is one), then against one chosen by hash, and only documents
 of different components of the links so found meet as pairs. So a group of copies costs its size, and no
 link between components is lost.
@@ -44,6 +44,7 @@ WORDS, PERCENT = 3, 90
 HELD, EMITTED = 1 << 20, 1 << 16  # counters of the summary: while a task counts, and what it returns
 COMMON = 1 << 18  # the commonest shingles, broadcast: 12 bytes each
 BINS = 64
+FEW = 16  # documents of a shingle that meet as pairs at once
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
 
@@ -93,11 +94,6 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return items[order], n[order]
 
 
-def least(percent: int, n: np.ndarray, of: int) -> np.ndarray:
-    """The least whole number that is ``of`` shares of ``percent`` of n."""
-    return -(-of * percent * n // (100 * (of - 1) + percent if of > 1 else 100))
-
-
 def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """doc_id, n, k1 and k2 (a 128-bit key of the set), first (the set's prefix, rare first) and bins of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((common[0], common[1].astype(np.uint32)))
@@ -115,7 +111,7 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
                 at = np.minimum(np.searchsorted(items, s), len(items) - 1)
                 seen = np.where(items[at] == s, counts[at], 0)
             ranked = s[np.lexsort((s, seen, doc))]
-            length = np.where(n > 0, n - least(percent, n, 1) + 1, 0)
+            length = np.where(n > 0, n + -percent * n // 100 + 1, 0)
             at = np.repeat(ends - n, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
             first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ranked[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays([
@@ -208,12 +204,17 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     reps, keep = classes.select("id", "n", "bins"), may_link(percent)
     posted = Stored(classes.select("id", "n", F.posexplode("first").alias("pos", "key")), "prefix-posted")
-    shared = stored(posted.df.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "prefix-shared")
-    rows = stored(sift(posted.df, "key", shared).join(shared, "key").select("key", "id", "n", "pos"), "prefix-rows")
-    posted.drop()
+    shared = stored(posted.df.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "prefix-shared")
+    held = sift(posted.df, "key", shared.select("key"))
+    listed = held.join(shared.where(F.col("size") <= FEW), "key").groupBy("key").agg(F.collect_list(F.struct("id", "n", "pos")).alias("all"))
+    met = listed.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("r")).where("l.id < r.id")
+    near = met.where(keep(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     check = lambda pairs: verified(stored(suffix_filter(stored(pairs, "prefix-pairs"), reps, percent), "prefix-near"), docs, percent)
 
-    open_, comp = rows, None
+    links = stored(links.unionAll(check(near)), "prefix-links")
+    rows = stored(held.join(shared.where(F.col("size") > FEW).select("key"), "key").select("key", "id", "n", "pos"), "prefix-rows")
+    posted.drop()
+    open_ = rows
     for chosen in (F.col("pos"), F.lit(0)):
         pick = F.min(F.struct(chosen.alias("p"), F.xxhash64("key", "id", F.lit(5)).alias("o"), "id", "n", "pos")).alias("pivot")
         pivots = stored(open_.groupBy("key").agg(pick).select("key", *[F.col(f"pivot.{c}").alias(f"p_{c}") for c in ("id", "n", "pos")]), "prefix-pivots")
