@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from warmgrid.llm.common import LOWER, Stored, bounded, stored, utf8, word_hashes
+from warmgrid.llm.common import LOWER, Stored, bounded, mix64, stored, utf8, word_hashes
 
 DOCS, SCALE, RANKS = 3, 1_000_000_000, 200
 TERMS, GROUPS, COLUMNS = 4096, 64, 1024  # of a block: terms, groups a side, indicator columns a side
-HELD = 1 << 20  # different (group, term) that a task holds before it passes them on
+READ = 1 << 23  # bytes of text that a task counts at a time
 
+_GROUP = np.uint64(0x9FB21C651E98DF25)
 _LETTER = np.ones(256, bool)
 _LETTER[:128] = False
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -48,44 +49,37 @@ def term_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents that hold it), summed as far as one task sees."""
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The stretches of ``data`` as strings."""
+    size = ends - starts
+    off = np.concatenate([[0], np.cumsum(size)])
+    raw = data[np.repeat(starts - off[:-1], size) + np.arange(off[-1])]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())).cast(pa.string())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, bytes], list[int]] = {}
 
-        def flush() -> pa.RecordBatch:
-            keys, sums = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2)
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)]
-            terms = pa.array([k[2] for k in keys], pa.binary()).cast(pa.string())
-            held.clear()
-            return pa.RecordBatch.from_arrays([*columns, terms, pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["lang", "source", "term", "n", "docs"])
+def term_counts(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n (occurrences) and docs (documents that hold it), summed over the texts a task reads at a time."""
 
-        for b in bounded(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, limit=READ):
             data, off = utf8(b.column("text"))
             data = LOWER[data]
             starts, ends, doc = term_spans(data, off)
-            h = word_hashes(data, starts, ends)
             names = list(zip(b.column("lang").to_pylist(), b.column("source").to_pylist()))
             kind = {name: k for k, name in enumerate(dict.fromkeys(names))}
-            group = np.array([kind[name] for name in names], np.int64)[doc] if len(doc) else doc
-            order = np.lexsort((doc, h, group))
-            h, group, doc = h[order], group[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
+            group = np.fromiter((kind[name] for name in names), np.int64, len(names))[doc]
+            key = mix64(word_hashes(data, starts, ends) + group.astype(np.uint64) * _GROUP)
+            order = np.argsort(key, kind="stable")  # texts stay in order within a key
+            key, doc = key[order], doc[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            first = np.flatnonzero(new)
             fresh = new.copy()
             fresh[1:] |= doc[1:] != doc[:-1]
-            first = np.flatnonzero(new)
-            raw, all_names = data.tobytes(), list(kind)
-            n = np.diff(np.append(first, len(h)))
-            in_docs = np.add.reduceat(fresh.astype(np.int64), first) if len(first) else n
-            for s, e, g, c, d in zip(starts[order[first]].tolist(), ends[order[first]].tolist(), group[first].tolist(), n.tolist(), in_docs.tolist()):
-                own = held.setdefault((*all_names[g], raw[s:e]), [0, 0])
-                own[0] += c
-                own[1] += d
-            if len(held) > HELD:
-                yield flush()
-        yield flush()
+            n = np.diff(np.append(first, len(key)))
+            in_docs = np.diff(np.append(0, np.cumsum(fresh))[np.append(first, len(key))])
+            own = order[first]
+            columns = [pa.array([name[i] for name in kind], pa.string()).take(pa.array(group[own])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, gathered(data, starts[own], ends[own]), pa.array(n), pa.array(in_docs)], ["lang", "source", "term", "n", "docs"])
 
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return named.mapInArrow(count, "lang string, source string, term string, n long, docs long")
@@ -155,13 +149,16 @@ def pair_distances(terms: DataFrame, langs: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).select(["lang", "kinds", "all"]).to_pylist()[0]
                 place = {g["source"]: k for k, g in enumerate(row["all"])}
-                own = row["terms"] or []
-                counts = np.zeros((len(own), len(place)), np.int64)
-                for t, term in enumerate(own):
-                    for entry in term["per"]:
-                        counts[t, place[entry["source"]]] = entry["n"]
+                per = b.column("terms").slice(k, 1).flatten().field("per")
+                size = per.value_lengths().to_numpy()
+                entries = per.flatten()
+                coded = entries.field("source").dictionary_encode()
+                known = np.array([place[name] for name in coded.dictionary.to_pylist()], np.int64)
+                counts = np.zeros((len(size), len(place)), np.int64)
+                counts[np.repeat(np.arange(len(size)), size), known[coded.indices.to_numpy()]] = entries.field("n").to_numpy()
                 value = joint_distances(counts, [level_prices(g["total"], row["kinds"]) for g in row["all"]])
                 names = list(place)
                 for i, name in enumerate(names):
