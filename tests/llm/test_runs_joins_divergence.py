@@ -171,6 +171,16 @@ def test_summary_keeps_what_is_common():
     assert set(range(10)) <= set(known)
 
 
+def test_bins_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n in (30, 700, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate([a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64) * np.uint64(2)])
+        x, y = (np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint8) for s, k in ((a, 7), (b, 6)))
+        assert 0 < prefixjoin.least_difference(x, y) <= len(np.setxor1d(a, b))
+        assert prefixjoin.least_difference(x, x) == 0
+
+
 def test_a_group_of_copies_costs_its_size(spark):
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**5)}" for _ in range(120)]

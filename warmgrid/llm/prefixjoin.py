@@ -13,8 +13,8 @@ shingles, and a pair goes on only if
 * length: the smaller set is at least ``s`` of the larger;
 * position: what follows the shared shingle in both sets suffices for the overlap that the similarity asks for
   (true for the first shared one of every pair that reaches it, under which the pair is found);
-* suffix: the sets' counts in ``BINS`` fixed ranges of hashes differ by no more than the symmetric difference
-  the similarity allows.
+* suffix: the sets' counts in fixed ranges of hashes (``BINS``, and more for larger sets, about ``PER_BIN`` shingles each) differ by no more
+  than the symmetric difference the similarity allows.
 
 Each pair left is verified once, on the full sets. Up to ``FEW`` documents of a shingle meet as pairs. More are never paired
 with each other while they may yet be found connected: they are held first against the one with the fewest rarer
@@ -43,7 +43,7 @@ from warmgrid.llm.graph import components, cross_pairs, sift
 WORDS, PERCENT = 3, 90
 HELD, EMITTED = 1 << 20, 1 << 16  # counters of the summary: while a task counts, and what it returns
 COMMON = 1 << 18  # the commonest shingles, broadcast: 12 bytes each
-BINS = 64
+BINS, PER_BIN = 64, 8
 FEW = 16  # documents of a shingle that meet as pairs at once
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
@@ -105,7 +105,9 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
             n = np.bincount(doc, minlength=b.num_rows)
             ends = np.cumsum(n)
             k1, k2 = (np.concatenate([[np.uint64(0)], np.cumsum(mix64(x))]) for x in (s, s * _OTHER))
-            bins = np.bincount(doc * BINS + (s >> np.uint64(58)).astype(np.int64), minlength=b.num_rows * BINS).astype(np.uint8).reshape(-1, BINS)
+            width = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / PER_BIN)), np.log2(BINS)).astype(np.int64)
+            edge = np.concatenate([[0], np.cumsum(1 << width)])
+            bins = np.bincount(edge[doc] + (s >> (64 - width[doc]).astype(np.uint64)).astype(np.int64), minlength=edge[-1]).astype(np.uint8)
             seen = np.zeros(len(s), np.uint32)
             if len(items):
                 at = np.minimum(np.searchsorted(items, s), len(items) - 1)
@@ -116,7 +118,7 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
             first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ranked[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array((k1[ends] - k1[ends - n]).view(np.int64)), pa.array((k2[ends] - k2[ends - n]).view(np.int64)),
-                first, pa.array([r.tobytes() for r in bins], pa.binary()),
+                first, pa.array([bins[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary()),
             ], ["doc_id", "n", "k1", "k2", "first", "bins"])
 
     return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, k1 long, k2 long, first array<long>, bins binary")
@@ -143,22 +145,32 @@ def may_link(percent: int):
     return keep
 
 
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets from their bins, counts modulo 256."""
+    bins = min(len(x), len(y))
+    x, y = (z.reshape(bins, -1).sum(axis=1, dtype=np.uint8) for z in (x, y))
+    return int(np.minimum(x - y, y - x).sum(dtype=np.int64))
+
+
 def suffix_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bins differ by no more than the similarity allows."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("x", "y"))
-            # counts are kept modulo 256, so this is a lower bound of the true difference
-            apart = np.minimum((x - y) % 256, (y - x) % 256).sum(axis=1)
+            x, y = ([np.frombuffer(z.as_buffer(), np.uint8) for z in b.column(c)] for c in ("x", "y"))
+            apart = np.array([least_difference(*z) for z in zip(x, y)], np.int64)
             both = b.column("n").to_numpy() + b.column("m").to_numpy()
             keep = pa.array(apart <= both - 2 * -(-percent * both // (100 + percent)))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    side = lambda id_, n, bins: reps.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("bins").alias(bins))
+    ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "prefix-ids")
+    some = Stored(sift(reps, "id", ids), "prefix-bins")
+    side = lambda id_, n, bins: some.df.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("bins").alias(bins))
     joined = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a")
     # ids with several texts have several sets: a pair stays if any two of them may link
-    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(apply, "a long, b long").distinct()
+    near = stored(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(apply, "a long, b long").distinct(), "prefix-near")
+    some.drop()
+    return near
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +221,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     listed = held.join(shared.where(F.col("size") <= FEW), "key").groupBy("key").agg(F.collect_list(F.struct("id", "n", "pos")).alias("all"))
     met = listed.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("r")).where("l.id < r.id")
     near = met.where(keep(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    check = lambda pairs: verified(stored(suffix_filter(stored(pairs, "prefix-pairs"), reps, percent), "prefix-near"), docs, percent)
+    check = lambda pairs: verified(suffix_filter(stored(pairs, "prefix-pairs"), reps, percent), docs, percent)
 
     links = stored(links.unionAll(check(near)), "prefix-links")
     rows = stored(held.join(shared.where(F.col("size") > FEW).select("key"), "key").select("key", "id", "n", "pos"), "prefix-rows")
