@@ -11,6 +11,7 @@ from warmgrid.session import checkpoint_root
 from warmgrid.sources import tables as S
 from warmgrid.sources.fixture_tables import METER, READINGS, SAMPLES
 from warmgrid.streaming import jobs as J
+from warmgrid.streaming.ordered import ordered_stream
 from warmgrid.streaming.run import drain
 
 
@@ -38,6 +39,11 @@ def table_stream(t, name, build):
 CLOSED = "(SELECT max(ts) - INTERVAL 2 HOUR AS w FROM readings)"
 
 
+def passed(table: str) -> str:
+    """Condition on the rows that the watermark of a fold over ``table`` has passed."""
+    return f"ts < (SELECT max(ts) - INTERVAL 2 HOUR FROM {table})"
+
+
 @query("stream_hourly_rollup", "T1 S9", "site_id:i ts:t sample_count:i temp:f humidity:f cloud_coverage:f effective_wind:f aux_fraction:f", f"""
 SELECT site_id, hr AS ts, count(*) AS sample_count, avg(temp) AS temp, avg(humidity) AS humidity, avg(cloud_coverage) AS cloud_coverage, quantile_disc(effective_wind, 0.9) AS effective_wind,
  avg(CASE WHEN aux_active THEN 1.0 ELSE 0.0 END) AS aux_fraction FROM bucketed_samples WHERE hr + INTERVAL 1 HOUR <= (SELECT w FROM {CLOSED}) GROUP BY 1, 2""")
@@ -45,13 +51,13 @@ def _(t):
     return drain(t.spark, J.stream_hourly_rollup(sample_stream(t)), "hours")
 
 
-@query("stream_meter_delta", "T2 S9", "site_id:i unit_id:s event_id:i status:s delta_kwh:f", """
+@query("stream_meter_delta", "T2 S9", "site_id:i unit_id:s event_id:i status:s delta_kwh:f", f"""
 SELECT site_id, unit_id, event_id, status, CASE WHEN status = 'ok' THEN raw ELSE 0 END AS delta_kwh FROM (
 SELECT *, CASE WHEN raw IS NULL THEN 'first' WHEN raw < 0 THEN 'reset' WHEN raw > 3 THEN 'spike' WHEN mode = 'dhw' THEN 'dhw' ELSE 'ok' END AS status FROM (
-SELECT *, reading_kwh - lag(reading_kwh) OVER (PARTITION BY site_id, unit_id ORDER BY ts, event_id) AS raw FROM meter_rows))""")
+SELECT *, reading_kwh - lag(reading_kwh) OVER (PARTITION BY site_id, unit_id ORDER BY ts, event_id) AS raw FROM meter_rows) WHERE {passed('meter_rows')})""")
 def _(t):
     m = t.sql(METER, readings=event_stream(t))
-    return drain(t.spark, J.keyed_stream(m, ["site_id", "unit_id"], J.MeterDelta()), "deltas")
+    return drain(t.spark, ordered_stream(m, ["site_id", "unit_id"], J.MeterDelta()), "deltas")
 
 
 @query("stream_daily_rollup", "T3", "site_id:i local_date:d n_hours:i temp:f samples:i complete:b", f"""
@@ -77,43 +83,48 @@ def _(t):
 
 
 COOLDOWN_SQL = """
-WITH RECURSIVE o AS (SELECT site_id, ts, CAST(epoch(ts) / 3600 AS BIGINT) AS h, aux_fraction >= 0.5 AS aux, actual_kwh AS a, expected_kwh AS e, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM hourly_log),
+WITH RECURSIVE u AS (SELECT h.site_id, h.ts, sum(h.actual_kwh) AS a, sum(h.expected_base_kwh) AS e FROM hourly_unit h JOIN unit_dim d ON h.site_id = d.site_id AND h.unit_id = d.unit_id WHERE d.aux_affected GROUP BY 1, 2),
+o AS (SELECT l.site_id, l.ts, CAST(epoch(l.ts) / 3600 AS BIGINT) AS h, l.aux_fraction >= 0.5 AS aux, coalesce(u.a, 0) AS a, coalesce(u.e, 0) AS e, row_number() OVER (PARTITION BY l.site_id ORDER BY l.ts) AS p
+ FROM hourly_log l LEFT JOIN u ON u.site_id = l.site_id AND u.ts = l.ts),
 c AS (SELECT site_id, ts, p, aux, false AS locked, CAST(NULL AS BIGINT) AS since FROM o WHERE p = 1
  UNION ALL SELECT site_id, ts, p, aux, s1 IS NOT NULL, CASE WHEN s1 IS NOT NULL AND (h - s1 >= 6 OR (h - s1 >= 2 AND e > 0.01 AND a / e >= 0.92)) THEN NULL ELSE s1 END FROM (
   SELECT o.*, CASE WHEN o.aux AND NOT c.aux THEN NULL WHEN c.aux AND NOT o.aux THEN o.h ELSE c.since END AS s1 FROM c JOIN o ON o.site_id = c.site_id AND o.p = c.p + 1))
 SELECT site_id, ts, locked FROM c"""
 
 
-@query("stream_cooldown", "T4", "site_id:i ts:t locked:b", COOLDOWN_SQL)
+def cooldown_hours(t):
+    return J.cooldown_inputs(t.hourly_log.withColumn("auxiliary_active", F.col("aux_fraction") >= 0.5), t.hourly_unit, t.units)
+
+
+@query("stream_cooldown", "T4", "site_id:i ts:t locked:b", f"{COOLDOWN_SQL} WHERE {passed('hourly_log')}")
 def _(t):
-    h = lambda: t.hourly_log.select("site_id", "ts", (F.col("aux_fraction") >= 0.5).alias("auxiliary_active"), "actual_kwh", "expected_kwh")
-    return drain(t.spark, J.keyed_stream(table_stream(t, "cool", h), ["site_id"], J.Cooldown()), "cooldown")
+    return drain(t.spark, ordered_stream(table_stream(t, "cool", lambda: cooldown_hours(t)), ["site_id"], J.Cooldown()), "cooldown")
 
 
 @query("cooldown_batch", "T4", "site_id:i ts:t locked:b", COOLDOWN_SQL)
 def _(t):
-    return J.cooldown_batch(t.hourly_log.withColumn("auxiliary_active", F.col("aux_fraction") >= 0.5))
+    return J.cooldown_batch(cooldown_hours(t))
 
 
-@query("stream_battery", "T5", "site_id:i ts:t battery_state:f", """
+@query("stream_battery", "T5", "site_id:i ts:t battery_state:f", f"""
 SELECT a.site_id, a.ts, sum(b.solar_impact_kwh * 0.5 * power(0.5, a.p - b.p)) AS battery_state
 FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM hourly_log) a
-JOIN (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM hourly_log) b ON a.site_id = b.site_id AND b.p <= a.p AND b.p > a.p - 60 GROUP BY 1, 2""")
+JOIN (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM hourly_log) b ON a.site_id = b.site_id AND b.p <= a.p AND b.p > a.p - 60 WHERE a.{passed('hourly_log')} GROUP BY 1, 2""")
 def _(t):
     h = table_stream(t, "sun", lambda: t.hourly_log.select("site_id", "ts", "solar_impact_kwh"))
-    return drain(t.spark, J.keyed_stream(h, ["site_id"], J.Battery()), "battery")
+    return drain(t.spark, ordered_stream(h, ["site_id"], J.Battery()), "battery")
 
 
 @query("stream_learn_site", "T6", "site_id:i ts:t status:s cell_kwh:f")
 def _(t):
-    return drain(t.spark, J.keyed_stream(table_stream(t, "live", lambda: live_hours(t)), ["site_id"], J.SiteLearner(0.1)), "learn_site")
+    return drain(t.spark, ordered_stream(table_stream(t, "live", lambda: live_hours(t)), ["site_id"], J.SiteLearner(0.1)), "learn_site")
 
 
 @query("stream_learn_units", "T6", "site_id:i unit_id:s regime:s ts:t outlier:b s:f e:f w:f")
 def _(t):
     cols = ["site_id", "unit_id", "regime", "ts", "ps", "pe", "pw", "expected_base_kwh", "actual_kwh", "raw_impact", "min_base", "is_shutdown", "battery_s", "battery_e", "battery_w"]
     s = table_stream(t, "solar", lambda: solar_rows(t).select(*cols))
-    return drain(t.spark, J.keyed_stream(s, ["site_id", "unit_id", "regime"], J.UnitSolarLearner()), "learn_units")
+    return drain(t.spark, ordered_stream(s, ["site_id", "unit_id", "regime"], J.UnitSolarLearner()), "learn_units")
 
 
 @query("stream_dedupe", "T7 U1", "site_id:i ts:t", "SELECT DISTINCT site_id, hr AS ts FROM readings")
@@ -130,20 +141,20 @@ def _(t):
     return drain(t.spark, J.stream_forecast_join(J.stream_hourly_rollup(sample_stream(t)), plan), "versus_plan")
 
 
-@query("stream_outage_alert", "T9", "site_id:i ts:t raised:b share:f", """
+@query("stream_outage_alert", "T9", "site_id:i ts:t raised:b share:f", f"""
 WITH RECURSIVE d AS (SELECT site_id, ts, CAST(CASE WHEN day(local_date) BETWEEN 8 AND 20 AND dni_dhi_source <> 'no_sun' THEN 0 WHEN dni_dhi_source IN ('native','erbs_from_ghi','kasten_synthetic') THEN 1 ELSE 0 END AS DOUBLE) AS good FROM hourly_log WHERE solar_factor > 0),
 w AS (SELECT *, avg(good) OVER (PARTITION BY site_id ORDER BY ts ROWS 23 PRECEDING) AS share, row_number() OVER (PARTITION BY site_id ORDER BY ts) AS p FROM d),
 c AS (SELECT site_id, ts, p, share, false AS raised, false AS changed FROM w WHERE p = 23
  UNION ALL SELECT w.site_id, w.ts, w.p, w.share, CASE WHEN w.share < 0.1 THEN true WHEN w.share >= 0.5 THEN false ELSE c.raised END, CASE WHEN w.share < 0.1 THEN true WHEN w.share >= 0.5 THEN false ELSE c.raised END <> c.raised
  FROM c JOIN w ON w.site_id = c.site_id AND w.p = c.p + 1)
-SELECT site_id, ts, raised, share FROM c WHERE changed""")
+SELECT site_id, ts, raised, share FROM c WHERE changed AND {passed('hourly_log')}""")
 def _(t):
     def hours():
         bad = F.dayofmonth("local_date").between(8, 20)
         return t.hourly_log.select("site_id", "ts", "solar_factor", F.when(bad & (F.col("dni_dhi_source") != "no_sun"), "kasten_synthetic").when(
             F.col("dni_dhi_source") == "kasten_synthetic", "native").otherwise(F.col("dni_dhi_source")).alias("dni_dhi_source"))
 
-    return drain(t.spark, J.keyed_stream(table_stream(t, "irr", hours), ["site_id"], J.OutageAlert()), "outage")
+    return drain(t.spark, ordered_stream(table_stream(t, "irr", hours), ["site_id"], J.OutageAlert()), "outage")
 
 
 @query("stream_late_data", "T10", "site_id:i late:b n:i", """

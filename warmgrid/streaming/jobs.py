@@ -1,25 +1,21 @@
 """Streaming forms of the hourly pipeline.
 
 Windows and joins use built-in stateful operators; only recurrences keep explicit
-keyed state. Every output is event-time based, so a restart or a lost executor
-replays to the same rows.
+keyed state, and fold it in event-time order (``ordered``), so the order in which files or
+micro-batches arrive, a restart or a lost executor don't change the rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from warmgrid import constants as K
-from warmgrid.functions.numeric import nz
 from warmgrid.operators.filters import enrich_wind
 from warmgrid.operators.sequential import ResidualScreen, SiteModel, SolarState
+from warmgrid.streaming.ordered import OrderedFold
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -95,61 +91,32 @@ def split_late(batch: DataFrame, horizon) -> tuple[DataFrame, DataFrame]:
 # --- keyed state ---------------------------------------------------------------------------
 
 
-class JsonFold(StatefulProcessor):
-    """Ordered fold of one key's rows with a small JSON document as state.
-
-    Rows of a micro-batch are sorted by time before folding; the document survives
-    restarts in the state store.
-    """
-
-    order: list[str] = ["ts"]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", "doc string")
-
-    def start(self) -> dict:
-        return {}
-
-    def fold(self, key: tuple, doc: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        raise NotImplementedError
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        doc = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
-        out = self.fold(key, doc, pdf)
-        self.state.update((json.dumps(doc),))
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-class MeterDelta(JsonFold):
+class MeterDelta(OrderedFold):
     """Cumulative readings to deltas; the last reading outlives restarts."""
 
     order = ["ts", "event_id"]
+    output = "site_id long, unit_id string, event_id long, status string, delta_kwh double"
 
     def fold(self, key, doc, rows):
-        last, out = doc.get("last"), []
-        for r in rows[["event_id", "reading_kwh", "mode"]].itertuples(index=False):
-            raw = None if last is None else r.reading_kwh - last
-            status = "first" if raw is None else "reset" if raw < 0 else "spike" if raw > K.MAX_ENERGY_DELTA else "dhw" if r.mode == "dhw" else "ok"
-            out.append((key[0], key[1], r.event_id, status, raw if status == "ok" else 0.0))
-            last = float(r.reading_kwh)
-        doc["last"] = last
-        return pd.DataFrame(out, columns=["site_id", "unit_id", "event_id", "status", "delta_kwh"])
+        reading = rows["reading_kwh"].to_numpy(float)
+        raw = np.diff(reading, prepend=doc.get("last", np.nan))
+        kinds = [("first", np.isnan(raw)), ("reset", raw < 0), ("spike", raw > K.MAX_ENERGY_DELTA), ("dhw", (rows["mode"] == "dhw").to_numpy())]
+        status = np.select([test for _, test in kinds], [name for name, _ in kinds], "ok")
+        doc["last"] = float(reading[-1])
+        return pd.DataFrame({"site_id": key[0], "unit_id": key[1], "event_id": rows["event_id"], "status": status, "delta_kwh": np.where(status == "ok", raw, 0.0)})
 
 
-class Battery(JsonFold):
+class Battery(OrderedFold):
     """Stored solar heat after each hour."""
 
+    output = "site_id long, ts timestamp, battery_state double"
+
     def fold(self, key, doc, rows):
-        s, out = doc.get("s", 0.0), []
-        for ts, x in zip(rows["ts"], rows["solar_impact_kwh"].fillna(0.0)):
-            s = s * K.BATTERY_DECAY + float(x) * (1 - K.BATTERY_DECAY)
-            out.append((key[0], ts, s))
-        doc["s"] = s
-        return pd.DataFrame(out, columns=["site_id", "ts", "battery_state"])
+        # an exponential mean whose first value is the state so far
+        fed = pd.concat([pd.Series([doc.get("s", 0.0)]), rows["solar_impact_kwh"].astype(float).fillna(0.0)])
+        after = fed.ewm(alpha=1 - K.BATTERY_DECAY, adjust=False).mean().to_numpy()[1:]
+        doc["s"] = float(after[-1])
+        return pd.DataFrame({"site_id": key[0], "ts": rows["ts"], "battery_state": after})
 
 
 def cooldown_step(doc: dict, hour: int, aux: bool, actual: float, expected: float) -> bool:
@@ -178,24 +145,36 @@ def cooldown_rows(site, doc: dict, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"site_id": site, "ts": rows["ts"].to_numpy(), "locked": locked})
 
 
-class Cooldown(JsonFold):
+class Cooldown(OrderedFold):
+    output = "site_id long, ts timestamp, locked boolean"
+
     def fold(self, key, doc, rows):
         return cooldown_rows(key[0], doc, rows)
 
 
-def cooldown_batch(hourly: DataFrame) -> DataFrame:
-    """Batch twin of the streaming lock."""
-    d = hourly.select("site_id", F.col("ts").cast("timestamp").alias("ts"), "auxiliary_active", nz("actual_kwh").alias("actual_kwh"), nz("expected_kwh").alias("expected_kwh"))
+def cooldown_inputs(hourly: DataFrame, hourly_unit: DataFrame, units: DataFrame) -> DataFrame:
+    """Each logged hour with what its aux-affected units drew and their base; hours without such units have 0."""
+    affected = units.where("aux_affected").select("site_id", "unit_id")
+    drawn = hourly_unit.join(affected, ["site_id", "unit_id"], "left_semi").groupBy("site_id", "ts").agg(
+        F.sum("actual_kwh").alias("actual_kwh"), F.sum("expected_base_kwh").alias("expected_kwh"))
+    return hourly.select("site_id", "ts", "auxiliary_active").join(drawn, ["site_id", "ts"], "left").na.fill(0.0, ["actual_kwh", "expected_kwh"])
+
+
+def cooldown_batch(hours: DataFrame) -> DataFrame:
+    """Batch twin of the streaming lock, over ``cooldown_inputs``."""
+    d = hours.select("site_id", F.col("ts").cast("timestamp").alias("ts"), "auxiliary_active", "actual_kwh", "expected_kwh")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return cooldown_rows(key[0], {}, pdf.sort_values("ts"))
 
-    return d.groupBy("site_id").applyInPandas(run, "site_id long, ts timestamp, locked boolean")
+    return d.groupBy("site_id").applyInPandas(run, Cooldown.output)
 
 
-class SiteLearner(JsonFold):
+class SiteLearner(OrderedFold):
     """Hour-by-hour base and aux learning of a site; emits each hour's status."""
 
+    output = "site_id long, ts timestamp, status string, cell_kwh double"
+
     def __init__(self, lr: float = K.LEARNING_RATE):
         self.lr = lr
 
@@ -208,9 +187,11 @@ class SiteLearner(JsonFold):
         return pd.DataFrame(out, columns=["site_id", "ts", "status", "cell_kwh"])
 
 
-class UnitSolarLearner(JsonFold):
+class UnitSolarLearner(OrderedFold):
     """Residual screen and LMS / inequality updates of one unit and regime."""
 
+    output = "site_id long, unit_id string, regime string, ts timestamp, outlier boolean, s double, e double, w double"
+
     def fold(self, key, doc, rows):
         st, scr, out = SolarState(3, doc.get("solar")), ResidualScreen(doc.get("screen")), []
         for r in rows.itertuples(index=False):
@@ -226,9 +207,11 @@ class UnitSolarLearner(JsonFold):
         return pd.DataFrame(out, columns=["site_id", "unit_id", "regime", "ts", "outlier", "s", "e", "w"])
 
 
-class OutageAlert(JsonFold):
+class OutageAlert(OrderedFold):
     """Sticky raise/clear over the latest 24 daylight hours; emits changes only."""
 
+    output = "site_id long, ts timestamp, raised boolean, share double"
+
     def fold(self, key, doc, rows):
         last, raised, out = doc.get("last", []), doc.get("raised", False), []
         for r in rows.itertuples(index=False):
@@ -244,19 +227,3 @@ class OutageAlert(JsonFold):
                 out.append((key[0], r.ts, raised, share))
         doc.update({"last": last, "raised": raised})
         return pd.DataFrame(out, columns=["site_id", "ts", "raised", "share"])
-
-
-SCHEMAS = {
-    MeterDelta: "site_id long, unit_id string, event_id long, status string, delta_kwh double",
-    Battery: "site_id long, ts timestamp, battery_state double",
-    Cooldown: "site_id long, ts timestamp, locked boolean",
-    SiteLearner: "site_id long, ts timestamp, status string, cell_kwh double",
-    UnitSolarLearner: "site_id long, unit_id string, regime string, ts timestamp, outlier boolean, s double, e double, w double",
-    OutageAlert: "site_id long, ts timestamp, raised boolean, share double",
-}
-
-
-def keyed_stream(stream: DataFrame, keys: list[str], processor: StatefulProcessor) -> DataFrame:
-    """Run a processor over a stream keyed by ``keys`` (RocksDB state store required)."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=SCHEMAS[type(processor)], outputMode="append", timeMode="none")
