@@ -305,3 +305,20 @@ def test_synthetic_day_conserves_metered_energy(spark):
     for params in (None, cop):
         got = L.synthetic_baseline(mpc, hrs, params).agg(F.sum("synthetic_kwh_el")).first()[0]
         assert got == pytest.approx(total, abs=0.02)
+
+
+def test_packed_model_spans_its_temperatures_and_serves_beyond(spark):
+    model = spark.createDataFrame([
+        (1, 0, "normal", 4.0, "2024-01-02"), (1, 6, "normal", 2.0, "2024-01-01"), (1, 6, "high_wind", 3.0, "2024-01-05"), (2, -30, "cooling", 9.0, "2024-01-01")],
+        "site_id long, temp_key int, wind_bucket string, kwh double, first_ts string")
+    packed = {r["site_id"]: r for r in J.pack_model(model, ["site_id"]).collect()}
+    assert packed[1]["low"] == -2 and len(packed[1]["slots"]) == 4 * 11 and len(packed[2]["slots"]) == 4 * 5
+    slot = lambda t, b: packed[1]["slots"][(t + 2) * 4 + b]
+    assert slot(0, 0)["exact"] == 4.0 and slot(0, 1)["mid"] == 4.0 and slot(1, 0)["mid"] == 4.0 and slot(-1, 0)["mid"] == 4.0
+    # as far from both: the cell learned first
+    assert slot(3, 0)["far_key"] == 6 and slot(3, 1)["far"] == 3.0 and slot(2, 0)["far_key"] == 0 and slot(-2, 0)["far_key"] == 0
+    hours = spark.createDataFrame([(1, -40.0, -40, "normal"), (1, 40.0, 40, "high_wind"), (2, 0.0, 0, "cooling"), (3, 5.0, 5, "normal"), (1, None, None, "normal"), (1, 5.0, 5, None)],
+                                  "site_id long, temp double, temp_key int, wind_bucket string")
+    got = {(r["site_id"], r["temp"], r["wind_bucket"]): r["predicted"] for r in J.attach_model_with_fallback(hours, model).collect()}
+    assert got[1, -40.0, "normal"] == round(4.0 * 57 / 17, 3) and got[1, 40.0, "high_wind"] == round(3.0 * 23 / 11, 3)
+    assert got[2, 0.0, "cooling"] == round(9.0 * 17 / 47, 3) and got[3, 5.0, "normal"] == 0.0 and got[1, None, "normal"] == 0.0 and got[1, 5.0, None] == 0.0

@@ -19,62 +19,71 @@ def attach_model(hours: DataFrame, model: DataFrame, keys=("site_id",), out: str
     return hours.join(m, [*keys, "temp_key", "wind_bucket"], "left")
 
 
-def _at(cell: str) -> str:
-    """SQL: value of the row's wind bucket in a wide model cell."""
-    return "CASE wind_bucket " + " ".join(f"WHEN '{b}' THEN {cell}.{b}" for b in BUCKETS) + " END"
+def _resolved(cell: str, bucket: str) -> str:
+    """SQL: a cell's value for a bucket or, heating data only, for the best other one."""
+    order = {"extreme_wind": ("extreme_wind", "high_wind", "normal"), "high_wind": ("high_wind", "normal", "extreme_wind"),
+             "normal": ("normal", "high_wind", "extreme_wind")}.get(bucket, (bucket,))
+    return f"coalesce({', '.join(f'{cell}.{b}' for b in order)})"
 
 
-def _resolved(cell: str) -> str:
-    """SQL: best available bucket of a cell; cooling never borrows heating data."""
-    return (f"coalesce({_at(cell)}, CASE WHEN wind_bucket <> 'cooling' THEN coalesce("
-            f"CASE WHEN wind_bucket = 'extreme_wind' THEN {cell}.high_wind END, {cell}.normal, {cell}.high_wind, {cell}.extreme_wind) END)")
+def _calmer(cell: str, bucket: str) -> str:
+    return {"extreme_wind": f"coalesce({cell}.high_wind, {cell}.normal)", K.COOLING_BUCKET: "CAST(NULL AS DOUBLE)"}.get(bucket, f"{cell}.normal")
 
 
-def prediction_grid(model: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Each requested temperature key with its own, adjacent and nearest other model cells.
+def _slot(bucket: str) -> str:
+    """SQL: what a lookup may need of temperature ``x`` and a bucket."""
+    lo, hi, near = f"IF(x.below.temp_key = x.t - 1, x.below.{bucket}, NULL)", f"IF(x.above.temp_key = x.t + 1, x.above.{bucket}, NULL)", "x.near"
+    return (f"named_struct('exact', x.own.{bucket}, 'mid', coalesce(({lo} + {hi}) / 2.0D, {lo}, {hi}, {_calmer('x.own', bucket)}), "
+            f"'far', IF({near} IS NULL, {_resolved('x.own', bucket)}, {_resolved(near, bucket)}), 'far_key', {near}.temp_key)")
 
-    One window over the distinct temperature keys of a model (about a hundred)
-    finds the neighbours, so no hour is ever paired with every cell. Equal
-    distances go to the cell learned first, then to the lower temperature.
+
+def pack_model(model: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each model: ``low``, a temperature, and ``slots``, a dense array by temperature and bucket.
+
+    Gaps are filled here, once: each slot has its own cell, the mean of the adjacent ones (or a calmer
+    bucket), and the nearest other cell; equal distances go to the cell learned first, then to the
+    lower temperature. The array spans the learnt temperatures and two more at both ends, which serve
+    all that lies beyond. Its length is bounded by the range of temperatures.
     """
     wide = model.groupBy(*keys, "temp_key").agg(
         *[F.max(F.when(F.col("wind_bucket") == b, F.col("kwh"))).alias(b) for b in BUCKETS], F.min("first_ts").alias("first_ts"))
-    cell = F.struct("temp_key", "first_ts", *BUCKETS)
-    wide = wide.select(*keys, "temp_key", cell.alias("own"))
-    grid = targets.select(*keys, "temp_key").distinct().join(wide, [*keys, "temp_key"], "full")
-    w = Window.partitionBy(*keys).orderBy("temp_key")
-    grid = grid.withColumns({
-        "minus1": F.first("own").over(w.rangeBetween(-1, -1)), "plus1": F.first("own").over(w.rangeBetween(1, 1)),
-        "_lo": F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "_hi": F.first("own", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    d_lo, d_hi = F.col("temp_key") - F.col("_lo.temp_key"), F.col("_hi.temp_key") - F.col("temp_key")
-    low_wins = F.col("_hi").isNull() | (d_lo < d_hi) | ((d_lo == d_hi) & (F.col("_lo.first_ts") <= F.col("_hi.first_ts")))
-    near = F.when(F.col("_lo").isNotNull() & low_wins, F.col("_lo")).otherwise(F.col("_hi"))
-    return grid.withColumn("near", near).drop("_lo", "_hi")
+    per = wide.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("temp_key", "first_ts", *BUCKETS))).alias("c"))
+    sides = """transform(sequence(c[0].temp_key - 2, c[size(c) - 1].temp_key + 2), t -> named_struct('t', t, 'own', get(filter(c, x -> x.temp_key = t), 0),
+        'below', get(filter(reverse(c), x -> x.temp_key < t), 0), 'above', get(filter(c, x -> x.temp_key > t), 0)))"""
+    low_wins = "x.above IS NULL OR x.t - x.below.temp_key < x.above.temp_key - x.t OR (x.t - x.below.temp_key = x.above.temp_key - x.t AND x.below.first_ts <= x.above.first_ts)"
+    near = f"transform(s, x -> named_struct('t', x.t, 'own', x.own, 'below', x.below, 'above', x.above, 'near', IF(x.below IS NOT NULL AND ({low_wins}), x.below, x.above)))"
+    slots = f"flatten(transform(n, x -> array({', '.join(_slot(b) for b in BUCKETS)})))"
+    return per.withColumn("s", F.expr(sides)).withColumn("n", F.expr(near)).select(*keys, F.expr("c[0].temp_key - 2").alias("low"), F.expr(slots).alias("slots"))
 
 
-def attach_model_with_fallback(hours: DataFrame, model: DataFrame, keys: list[str] | None = None, temp: str = "temp",
-                               bp: float = K.BALANCE_POINT, scale: bool = True, out: str = "predicted") -> DataFrame:
-    """Cell lookup with the regime-aware fallback ladder.
+def slot_of(packed: str, temp_key: str = "temp_key", bucket: str = "wind_bucket") -> Column:
+    """The slot of a packed model (a struct of ``low`` and ``slots``) for a temperature and bucket."""
+    step = " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(BUCKETS))
+    at = f"least(greatest({temp_key} - {packed}.low, 0), CAST(size({packed}.slots) / {len(BUCKETS)} AS INT) - 1) * {len(BUCKETS)} + CASE {bucket} {step} END"
+    return F.expr(f"get({packed}.slots, {at})")
+
+
+def laddered(slot: str, temp: str = "temp", bp: float = K.BALANCE_POINT, scale: bool = True) -> Column:
+    """Value of a slot by the regime-aware fallback ladder.
 
     Exact cell; within 4 degrees of the balance point the mean of the adjacent
     keys, then a calmer bucket at the same key; otherwise the nearest other key,
     scaled by the ratio of temperature differences.
     """
+    dt, src = f"abs({bp}D - {temp})", f"abs({bp}D - {slot}.far_key)"
+    scaled = f"""CASE WHEN {src} < CASE WHEN {dt} > 4.0D THEN 1.0D ELSE 0.5D END THEN {slot}.far
+                 ELSE round({slot}.far * {dt} / {src} + 1e-9D, 3) END""" if scale else f"{slot}.far"
+    return F.expr(f"""coalesce({slot}.exact, CASE WHEN {dt} <= 4.0D THEN {slot}.mid END,
+        CASE WHEN {slot}.far_key IS NULL THEN coalesce({slot}.far, 0.0D) WHEN {slot}.far IS NULL OR {slot}.far <= 0.001D THEN 0.0D ELSE {scaled} END)""")
+
+
+def attach_model_with_fallback(hours: DataFrame, model: DataFrame, keys: list[str] | None = None, temp: str = "temp",
+                               bp: float = K.BALANCE_POINT, scale: bool = True, out: str = "predicted") -> DataFrame:
+    """Cell lookup with the fallback ladder (``laddered``): one join by ``keys``, then an index."""
     keys = keys or ["site_id"]
-    grid = prediction_grid(model, hours, keys)
-    d = hours.join(grid, [*keys, "temp_key"], "left")
-    dt = f"abs({bp}D - {temp})"
-    lo, hi = _at("minus1"), _at("plus1")
-    calmer = "CASE wind_bucket WHEN 'extreme_wind' THEN coalesce(own.high_wind, own.normal) WHEN 'cooling' THEN NULL ELSE own.normal END"
-    value, src = _resolved("near"), f"abs({bp}D - near.temp_key)"
-    scaled = f"""CASE WHEN {src} < CASE WHEN {dt} > 4.0D THEN 1.0D ELSE 0.5D END THEN _value
-                 ELSE round(_value * {dt} / {src} + 1e-9D, 3) END""" if scale else "_value"
-    d = d.withColumn("_value", F.expr(value))
-    picked = f"""coalesce({_at("own")},
-        CASE WHEN {dt} <= 4.0D THEN coalesce(({lo} + {hi}) / 2.0D, {lo}, {hi}, {calmer}) END,
-        CASE WHEN near IS NULL THEN coalesce({_resolved("own")}, 0.0D) WHEN _value IS NULL OR _value <= 0.001D THEN 0.0D ELSE {scaled} END)"""
-    return d.withColumn(out, F.expr(picked)).drop("own", "near", "minus1", "plus1", "_value")
+    packed = pack_model(model, keys).select(*keys, F.struct("low", "slots").alias("_packed"))
+    slot = hours.join(packed, keys, "left").withColumn("_slot", slot_of("_packed")).drop("_packed")
+    return slot.withColumn(out, laddered("_slot", temp, bp, scale)).drop("_slot")
 
 
 def blend_sources(primary: DataFrame, secondary: DataFrame, as_of: Column, crossover_day: int = K.CROSSOVER_DAY) -> DataFrame:

@@ -1,9 +1,9 @@
 """Scoring learned models over hours.
 
-``predict_hours`` is one plan: hours fan out to their site's units, each unit-hour
-is looked up and saturated, partition sums go back to the hour, and the site
-model's value is allocated over the partitions. Variants of the same hours (aux
-on/off, other weather) travel as an extra key through a single plan.
+``predict_hours`` is one plan: each site's models are packed into one row of dense arrays, hours
+meet their site's row and their units' modes, fan out to units, are looked up by index and saturated,
+and are summed again where they are; the site model's value is then allocated over the
+partitions. Variants of the same hours (aux on/off, other weather) travel as an extra key through a single plan.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ from warmgrid import constants as K
 from warmgrid.functions import solar as S
 from warmgrid.functions import weather as W
 from warmgrid.functions.numeric import c, nz, rnd, sum_if, temp_key
-from warmgrid.operators.joins import attach_model_with_fallback
+from warmgrid.operators.joins import laddered, pack_model, slot_of
 from warmgrid.operators.rollup import last_year_iso
 
 
 @dataclass(frozen=True)
 class Models:
-    """Learned tables a score needs. ``solar`` has s, e, w (and d for the 4D model)."""
+    """Learned tables a score needs. ``solar`` has s, e, w (and d for the 4D model).
+
+    ``profiles`` may hold ``site_profiles`` of the tables, stored; otherwise each score packs them anew.
+    """
 
     base: DataFrame
     aux: DataFrame
@@ -32,44 +35,66 @@ class Models:
     solar: DataFrame
     units: DataFrame
     decay: float = K.BATTERY_DECAY
+    profiles: DataFrame | None = None
+
+
+def site_profiles(models: Models) -> DataFrame:
+    """One row a site: packed ``base`` and ``aux`` models, and ``units`` with their scope, packed models and solar coefficients."""
+    unit = ["site_id", "unit_id"]
+    pack = lambda model, keys, name: pack_model(model, keys).select(*keys, F.struct("low", "slots").alias(name))
+    four = F.col("d") if "d" in models.solar.columns else F.lit(None).cast("double").alias("d")
+    coeffs = models.solar.select(*unit, "regime", F.struct("s", "e", "w", four, "learned").alias("c"))
+    solar = coeffs.groupBy(*unit).agg(*[F.max(F.when(F.col("regime") == r, F.col("c"))).alias(f"sun_{r}") for r in ("heating", "cooling")])
+    u = models.units.select(*unit, "aux_affected", "solar_affected").join(pack(models.unit_base, unit, "base"), unit, "left")
+    u = u.join(pack(models.unit_aux, unit, "aux"), unit, "left").join(solar, unit, "left")
+    units = u.groupBy("site_id").agg(F.collect_list(F.struct(*[c for c in u.columns if c != "site_id"])).alias("units"))
+    return units.join(pack(models.base, ["site_id"], "base"), "site_id", "full").join(pack(models.aux, ["site_id"], "aux"), "site_id", "full")
 
 
 def with_cell(hours: DataFrame) -> DataFrame:
     return hours.withColumns({"temp_key": temp_key("temp"), "wind_bucket": W.wind_bucket("effective_wind")})
 
 
-def _solar_3d(d: DataFrame, coeffs: DataFrame) -> DataFrame:
+def _solar_3d(d: DataFrame) -> DataFrame:
     """Unit solar from learned coefficients; unlearned heating uses the south default, unlearned cooling none."""
-    j = d.join(coeffs.select("site_id", "unit_id", "regime", "s", "e", "w", "learned"), ["site_id", "unit_id", "regime"], "left")
-    known = F.coalesce(F.col("learned"), F.lit(False))
-    heat = F.col("regime") == "heating"
-    impact = F.when(known, sum((F.col(f) * F.col(f"pot_{f}") for f in "sew"), F.lit(0.0))).when(heat, K.SOLAR_COEFF_HEATING * F.col("pot_s")).otherwise(0.0)
-    return j.withColumn("solar", F.when(F.col("solar_affected"), F.greatest(F.lit(0.0), impact)).otherwise(0.0)).drop("s", "e", "w", "learned")
+    known = F.coalesce(F.col("_sun.learned"), F.lit(False))
+    impact = F.when(known, sum((F.col(f"_sun.{f}") * F.col(f"pot_{f}") for f in "sew"), F.lit(0.0))).when(F.col("regime") == "heating", K.SOLAR_COEFF_HEATING * F.col("pot_s")).otherwise(0.0)
+    return d.withColumn("solar", F.when(F.col("solar_affected"), F.greatest(F.lit(0.0), impact)).otherwise(0.0))
 
 
-def _solar_4d(d: DataFrame, coeffs: DataFrame) -> DataFrame:
+def _solar_4d(d: DataFrame) -> DataFrame:
     """Unit solar of the beam/diffuse model: only explicitly learned regimes count."""
-    j = d.join(coeffs.select("site_id", "unit_id", "regime", "s", "e", "w", "d", "learned"), ["site_id", "unit_id", "regime"], "left")
-    live = F.coalesce(F.col("learned") & ((F.col("s") != 0) | (F.col("e") != 0) | (F.col("w") != 0) | (F.col("d") != 0)), F.lit(False))
-    impact = sum((F.col(f) * F.col(f"p4_{f}") for f in "sewd"), F.lit(0.0))
-    return j.withColumn("solar", F.when(F.col("solar_affected") & live, F.greatest(F.lit(0.0), impact)).otherwise(0.0)).drop("s", "e", "w", "d", "learned")
+    c_ = {f: F.col(f"_sun.{f}") for f in "sewd"}
+    live = F.coalesce(F.col("_sun.learned") & ((c_["s"] != 0) | (c_["e"] != 0) | (c_["w"] != 0) | (c_["d"] != 0)), F.lit(False))
+    impact = sum((c_[f] * F.col(f"p4_{f}") for f in "sewd"), F.lit(0.0))
+    return d.withColumn("solar", F.when(F.col("solar_affected") & live, F.greatest(F.lit(0.0), impact)).otherwise(0.0))
 
 
 def score_units(hours: DataFrame, modes: DataFrame, models: Models, keys: list[str], four_d: bool = False) -> DataFrame:
-    """Base, aux, solar and net per unit-hour."""
-    scope = models.units.select("site_id", "unit_id", "aux_affected", "solar_affected")
+    """Base, aux, solar and net per unit-hour, beside the site's ``g_base`` and ``g_aux``; a site without units has one row of an unknown unit."""
+    profiles = models.profiles if models.profiles is not None else site_profiles(models)
     pots = [f"p4_{f}" for f in "sewd"] if four_d else [f"pot_{f}" for f in "sew"]
-    d = hours.select(*keys, "temp", "temp_key", F.col("wind_bucket").alias("_wb"), "auxiliary_active", *pots).join(scope, "site_id")
-    d = d.join(modes.select("site_id", "unit_id", "ts", "mode"), ["site_id", "unit_id", "ts"], "left")
-    d = d.withColumn("mode", F.coalesce("mode", F.lit("heating")))
+    # the units' modes come as one list an hour; the site's row is met last, so that its arrays are read where they arrive
+    listed = modes.groupBy("site_id", "ts").agg(F.sort_array(F.collect_list(F.struct("unit_id", "mode"))).alias("_modes"))
+    h = hours.select(*keys, "temp", "temp_key", "wind_bucket", "auxiliary_active", "carry_state", *pots).join(listed, ["site_id", "ts"], "left")
+    d = h.join(profiles.select("site_id", *[F.col(x).alias(f"_p_{x}") for x in ("base", "aux", "units")]), "site_id", "left")
+    d = d.select(
+        *h.columns, slot_of("_p_base").alias("_gb"), F.when(F.col("auxiliary_active"), slot_of("_p_aux")).alias("_ga"), F.explode_outer("_p_units").alias("u"))
+    d = d.withColumn("mode", F.expr("coalesce(get(filter(_modes, m -> m.unit_id = u.unit_id), 0).mode, 'heating')")).drop("_modes").withColumnRenamed("wind_bucket", "_wb")
     d = d.withColumns({
+        "unit_id": F.col("u.unit_id"), "aux_affected": F.col("u.aux_affected"), "solar_affected": F.col("u.solar_affected"),
         "wind_bucket": F.when(F.col("mode") == "cooling", F.lit(K.COOLING_BUCKET)).otherwise(F.col("_wb")),
-        "regime": F.when(F.col("mode").isin(*K.COOLING_MODES), "cooling").otherwise("heating")}).drop("_wb")
-    unit = ["site_id", "unit_id"]
-    d = attach_model_with_fallback(d, models.unit_base, unit, out="base")
-    d = attach_model_with_fallback(d, models.unit_aux, unit, out="_aux")
-    d = d.withColumn("raw_aux", F.when(F.col("auxiliary_active") & F.col("aux_affected"), nz("_aux")).otherwise(0.0)).drop("_aux")
-    d = (_solar_4d if four_d else _solar_3d)(d, models.solar)
+        "regime": F.when(F.col("mode").isin(*K.COOLING_MODES), "cooling").otherwise("heating")})
+    aided = F.col("auxiliary_active") & F.col("aux_affected")
+    d = d.withColumns({
+        "_b": slot_of("u.base"), "_a": F.when(aided, slot_of("u.aux")),
+        "_sun": F.when(F.col("regime") == "cooling", F.col("u.sun_cooling")).otherwise(F.col("u.sun_heating"))})
+    # all rows of an hour come together here, before they are scored and summed: as many bytes as partial
+    # sums, and generated stages of a size that the JVM still compiles instead of one that it interprets
+    d = d.drop("u").repartition(*keys).withColumns({
+        "g_base": laddered("_gb"), "g_aux": F.when(F.col("auxiliary_active"), laddered("_ga")).otherwise(0.0),
+        "base": laddered("_b"), "raw_aux": F.when(F.col("auxiliary_active") & F.col("aux_affected"), laddered("_a")).otherwise(0.0)})
+    d = (_solar_4d if four_d else _solar_3d)(d).drop("_sun", "_wb", "_gb", "_ga", "_b", "_a")
     d = d.withColumn("aux_applied", F.least("raw_aux", "base")).withColumns({
         "aux_overflow": F.col("raw_aux") - F.col("aux_applied"), "after_aux": F.col("base") - F.col("aux_applied")})
     s = S.saturate("after_aux", "solar", "mode")
@@ -82,23 +107,22 @@ def predict_hours(hours: DataFrame, modes: DataFrame, models: Models, keys: list
     The site model anchors the magnitude; unit models only decide how the anchor
     splits over heating-in-scope, cooling-in-scope and out-of-scope demand. Aux can
     remove at most the aux-affected share, heating solar at most its allocation.
+    ``keys`` name an hour, site_id and ts among them.
     """
     keys = keys or ["site_id", "ts"]
-    u = score_units(hours, modes, models, keys, four_d)
+    h = hours if "carry_state" in hours.columns else hours.withColumn("carry_state", F.lit(0.0))
+    u = score_units(h, modes, models, keys, four_d)
     cool, heat = F.col("mode").isin(*K.COOLING_MODES), F.col("mode").isin(*K.HEATING_MODES)
     scoped = F.col("solar_affected")
-    parts = u.groupBy(*keys).agg(
+    j = u.groupBy(*keys).agg(
+        *[F.first(x).alias(x) for x in ("g_base", "g_aux", "auxiliary_active", "carry_state")],
         F.sum("base").alias("u_base"), F.sum("aux_applied").alias("u_aux"), F.sum("aux_overflow").alias("u_over"),
         F.sum("applied").alias("u_applied"), F.sum("wasted").alias("u_wasted"), F.sum("net").alias("u_net"),
         sum_if(F.col("aux_affected") & F.col("auxiliary_active"), "base").alias("b_aux"),
         sum_if(cool & scoped, "after_aux").alias("b_cool"), sum_if(heat & scoped, "after_aux").alias("b_heat"),
         sum_if(((cool | heat) & ~scoped) | (~cool & ~heat & (F.col("mode") != "off")), "after_aux").alias("b_rest"),
         sum_if(cool, "applied").alias("a_cool"), sum_if(~cool, "applied").alias("a_heat"),
-        sum_if(cool, "net").alias("cool_net"), sum_if(~cool, "net").alias("heat_net"), sum_if(heat, "net").alias("heat_only"))
-    h = hours if "carry_state" in hours.columns else hours.withColumn("carry_state", F.lit(0.0))
-    g = attach_model_with_fallback(h.select(*keys, "temp", "temp_key", "wind_bucket", "auxiliary_active", "carry_state"), models.base, out="g_base")
-    g = attach_model_with_fallback(g, models.aux, out="_g").withColumn("g_aux", F.when(F.col("auxiliary_active"), nz("_g")).otherwise(0.0))
-    j = g.join(parts, keys, "left").na.fill(0.0)
+        sum_if(cool, "net").alias("cool_net"), sum_if(~cool, "net").alias("heat_net"), sum_if(heat, "net").alias("heat_only")).na.fill(0.0)
     total = F.col("b_heat") + F.col("b_cool") + F.col("b_rest")
     frac = F.when(F.col("u_base") > 0, F.col("b_aux") / F.col("u_base")).otherwise(0.0)
     j = j.withColumn("_split", total > 1e-9).withColumn(

@@ -1,5 +1,7 @@
 """Scoring queries: one SQL generator mirrors the whole score for every variant."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from warmgrid.operators import enrich as E
@@ -104,7 +106,8 @@ def models(t) -> M.Models:
     sol = x.select("site_id", "unit_id", "regime", *[F.round(F.col("x") * k + 1e-9, 4).alias(n) for n, k in (("s", 0.5), ("e", 0.3), ("w", 0.2))],
                    F.round(F.col("x") * 0.0004 + 1e-9, 6).alias("d"), ((F.col("unit_id") != "unit_3") | ((F.col("regime") == "heating") & (F.col("site_id") % 2 == 0))).alias("learned"))
     sol = t.stored("m_solar", lambda b=sol: b)
-    return M.Models(base, aux, ub, ux, sol, t.stored("unit_dim", lambda: t.units))
+    m = M.Models(base, aux, ub, ux, sol, t.stored("unit_dim", lambda: t.units))
+    return replace(m, profiles=t.stored("m_profiles", lambda: M.site_profiles(m)))
 
 
 def score_hours(t):
