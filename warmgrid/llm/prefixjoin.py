@@ -41,7 +41,8 @@ from warmgrid.llm.common import Stored, bounded, mix64, stored, utf8
 from warmgrid.llm.graph import components, cross_pairs, sift
 
 WORDS, PERCENT = 3, 90
-HELD, EMITTED = 1 << 20, 1 << 16  # counters of the summary: while a task counts, and what it returns
+HELD, EMITTED = 1 << 18, 1 << 16  # counters of the summary: while a task counts, and what it returns
+READ = 1 << 20  # bytes of text that a task holds sets of at a time
 COMMON = 1 << 18  # the commonest shingles, broadcast: 12 bytes each
 BINS, PER_BIN = 64, 8
 FEW = 16  # documents of a shingle that meet as pairs at once
@@ -64,11 +65,12 @@ def distinct_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def summarise(items: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Equal items summed; beyond ``size`` of them, all counts lose the count of the first one too many."""
-    kinds, place = np.unique(items, return_inverse=True)
-    total = np.zeros(len(kinds), np.int64)
-    np.add.at(total, place, counts)
+    order = np.argsort(items)
+    items = items[order]
+    first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])[: len(items)])
+    kinds, total = items[first], np.add.reduceat(counts[order], first) if len(first) else counts
     if len(kinds) > size:
-        total -= np.partition(total, len(total) - size - 1)[len(total) - size - 1]
+        total = total - np.partition(total, len(total) - size - 1)[len(total) - size - 1]
         kinds, total = kinds[total > 0], total[total > 0]
     return kinds, total
 
@@ -79,7 +81,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
-        for b in bounded(batches):
+        for b in bounded(batches, limit=READ):
             held.append(distinct_sets(b.column("text"))[0])
             if sum(map(len, held)) > HELD:
                 kinds, total = summarise(np.concatenate([kinds, *held]), np.concatenate([total, np.ones(sum(map(len, held)), np.int64)]), HELD)
@@ -100,7 +102,7 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, counts = sent.value
-        for b in bounded(batches):
+        for b in bounded(batches, limit=READ):
             s, doc = distinct_sets(b.column("text"))
             n = np.bincount(doc, minlength=b.num_rows)
             ends = np.cumsum(n)
@@ -177,7 +179,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity (a stored table)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches):
+        for b in bounded(batches, limit=READ):
             s, doc = distinct_sets(b.column("text"))
             edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary())], ["id", "items"])
