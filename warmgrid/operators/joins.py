@@ -60,7 +60,8 @@ def slot_of(packed: str, temp_key: str = "temp_key", bucket: str = "wind_bucket"
     """The slot of a packed model (a struct of ``low`` and ``slots``) for a temperature and bucket."""
     step = " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(BUCKETS))
     at = f"least(greatest({temp_key} - {packed}.low, 0), CAST(size({packed}.slots) / {len(BUCKETS)} AS INT) - 1) * {len(BUCKETS)} + CASE {bucket} {step} END"
-    return F.expr(f"get({packed}.slots, {at})")
+    # least and greatest pass over nulls
+    return F.expr(f"get({packed}.slots, IF({temp_key} IS NULL, NULL, {at}))")
 
 
 def laddered(slot: str, temp: str = "temp", bp: float = K.BALANCE_POINT, scale: bool = True) -> Column:
