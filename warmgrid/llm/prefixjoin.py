@@ -97,7 +97,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """doc_id, n, k1 and k2 (a 128-bit key of the set), first (the set's prefix, rare first) and bins of every row."""
+    """doc_id, n, k1 and k2 (a 128-bit key of the set), first (the set's prefix, rare first), bins and coarse (``BINS`` of them) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((common[0], common[1].astype(np.uint32)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +110,7 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
             width = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / PER_BIN)), np.log2(BINS)).astype(np.int64)
             edge = np.concatenate([[0], np.cumsum(1 << width)])
             bins = np.bincount(edge[doc] + (s >> (64 - width[doc]).astype(np.uint64)).astype(np.int64), minlength=edge[-1]).astype(np.uint8)
+            coarse = np.bincount(doc * BINS + (s >> np.uint64(64 - int(np.log2(BINS)))).astype(np.int64), minlength=b.num_rows * BINS)
             seen = np.zeros(len(s), np.uint32)
             if len(items):
                 at = np.minimum(np.searchsorted(items, s), len(items) - 1)
@@ -121,9 +122,10 @@ def profiles(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: in
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array((k1[ends] - k1[ends - n]).view(np.int64)), pa.array((k2[ends] - k2[ends - n]).view(np.int64)),
                 first, pa.array([bins[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary()),
-            ], ["doc_id", "n", "k1", "k2", "first", "bins"])
+                pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BINS), pa.array(coarse.astype(np.int32))),
+            ], ["doc_id", "n", "k1", "k2", "first", "bins", "coarse"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, k1 long, k2 long, first array<long>, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, k1 long, k2 long, first array<long>, bins binary, coarse array<int>")
 
 
 # -- candidates and links -------------------------------------------------------------
@@ -147,6 +149,17 @@ def may_link(percent: int):
     return keep
 
 
+def coarse_may_link(percent: int):
+    """``may_link`` and the suffix filter on the coarse bins of the two sides, for many documents of one shingle."""
+    keep = may_link(percent)
+
+    def both(left, right) -> Column:
+        apart = F.aggregate(F.zip_with(left("coarse"), right("coarse"), lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda total, d: total + d)
+        return keep(left, right) & (apart <= left("n") + right("n") - 2 * needed(percent, left("n"), right("n")))
+
+    return both
+
+
 def least_difference(x: np.ndarray, y: np.ndarray) -> int:
     """A lower bound of the symmetric difference of two sets from their bins, counts modulo 256."""
     bins = min(len(x), len(y))
@@ -238,7 +251,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         named = stored(rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "pos"), "prefix-named")
         left = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_ = named.join(stored(left, "prefix-open"), "key")
-    links = stored(links.unionAll(check(cross_pairs(open_, keep))), "prefix-links")
+    # what is left of a shingle is paired under all filters at once, so that a large group returns few pairs
+    ids = stored(open_.select("id").distinct(), "prefix-ids")
+    coarse = stored(sift(some.select(F.col("doc_id").alias("id"), "coarse"), "id", ids).join(ids, "id").distinct(), "prefix-coarse")
+    links = stored(links.unionAll(check(cross_pairs(open_.join(coarse, "id"), coarse_may_link(percent)))), "prefix-links")
     final = stored(components(links), "prefix-final").withColumnRenamed("id", "doc_id")
     answer = own.df.select("doc_id", "n").join(final, "doc_id", "left")
     return answer.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
