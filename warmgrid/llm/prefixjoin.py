@@ -248,7 +248,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         held = open_.join(pivots, "key").where((F.col("id") != F.col("p_id")) & keep(F.col, lambda c: F.col(f"p_{c}")))
         links = stored(links.unionAll(check(held.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct())), "prefix-links")
         comp = stored(components(links), "prefix-comps")
-        named = stored(rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "pos"), "prefix-named")
+        named = stored(open_.select("key", "id", "n", "pos").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "n", "pos"), "prefix-named")
         left = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_ = named.join(stored(left, "prefix-open"), "key")
     # what is left of a shingle is paired under all filters at once, so that a large group returns few pairs
