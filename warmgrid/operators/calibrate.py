@@ -327,6 +327,14 @@ def transmittance_sweep(unit_hours: DataFrame, floors=(0.05, 0.08, 0.12, 0.15, 0
     return fit.withColumn("rank", F.row_number().over(Window.partitionBy("site_id", "unit_id").orderBy("rmse", "floor")))
 
 
+def cut_markers() -> list[Column]:
+    """(side, crit) of every candidate cut of the horizon."""
+    out = []
+    for side, (a, b) in (("low", K.OBSTRUCTION_LOW_GRID), ("high", K.OBSTRUCTION_HIGH_GRID)):
+        out += [F.struct(F.lit(side).alias("side"), F.lit(a + i * K.OBSTRUCTION_STEP).alias("crit")) for i in range(int((b - a) / K.OBSTRUCTION_STEP) + 1)]
+    return out
+
+
 def fit_obstruction(samples: DataFrame, shutdowns: DataFrame | None = None) -> DataFrame:
     """Best low and high horizon cut per (site, unit, facade).
 
@@ -334,33 +342,38 @@ def fit_obstruction(samples: DataFrame, shutdowns: DataFrame | None = None) -> D
     candidate looks at the twenty nearest samples on either side within the angular
     limit; gating a side removes its own prediction. Shutdown elevations prove open
     sky and bound the candidates.
+
+    The twenty samples from a sample on, upwards and downwards, are summed in row frames; the cuts are merged into the
+    order of elevation as marker rows and read the sums of the next sample above and below: n + 92 rows for a group
+    of n, with one exchange. Samples without an elevation are left out.
     """
     key = ["site_id", "unit_id", "facade"]
-    grids = []
-    for side, (a, b) in (("low", K.OBSTRUCTION_LOW_GRID), ("high", K.OBSTRUCTION_HIGH_GRID)):
-        n = int((b - a) / K.OBSTRUCTION_STEP)
-        grids += [F.struct(F.lit(side).alias("side"), F.lit(a + i * K.OBSTRUCTION_STEP).alias("crit")) for i in range(n + 1)]
-    d = samples
+    off = F.col("residual") - F.col("pred")
+    side_of = lambda edge, w: F.struct(F.count(F.lit(1)).over(w).alias("n"), edge("elev").over(w).alias("edge"), F.sum(off * off).over(w).alias("null"), F.sum(F.col("residual") * F.col("residual")).over(w).alias("gated"))
+    order = Window.partitionBy(*key).orderBy("elev", "ts", "residual", "pred")
+    reach = (Window.currentRow, K.OBSTRUCTION_K_SIDE - 1)
+    d = samples.filter("elev is not null").select(*key, "elev", "ts", "pred", "residual")
+    d = d.withColumns({"_n": F.row_number().over(order), "_up": side_of(F.max, order.rowsBetween(*reach))})
+    d = d.withColumn("_down", side_of(F.min, Window.partitionBy(*key).orderBy(F.col("elev").desc(), "ts", "_n").rowsBetween(*reach)))
+    blank = lambda name: F.lit(None).cast(d.schema[name].dataType).alias(name)
+    own = F.struct(F.lit(None).cast("string").alias("side"), F.col("elev").alias("crit"), "ts", "_n", "_up", "_down")
+    cuts = [F.struct(m["side"].alias("side"), m["crit"].alias("crit"), blank("ts"), blank("_n"), blank("_up"), blank("_down")) for m in cut_markers()]
+    d = d.select(*key, F.inline(F.when(F.col("_n") == 1, F.array(own, *cuts)).otherwise(F.array(own))))
+    # a sample at the cut's own elevation counts as below it
+    falling = Window.partitionBy(*key).orderBy(F.col("crit").desc(), F.col("_n").isNotNull(), F.col("_n").desc())
+    rising = Window.partitionBy(*key).orderBy("crit", F.col("_n").isNull(), F.col("ts").desc(), F.col("_n").desc())
+    d = d.withColumn("_a", F.last("_up", ignorenulls=True).over(falling)).withColumn("_b", F.last("_down", ignorenulls=True).over(rising)).filter("side is not null")
     if shutdowns is not None:
         # third smallest and third largest proven-open elevation
         up, down = Window.partitionBy(*key).orderBy("elev"), Window.partitionBy(*key).orderBy(F.col("elev").desc())
-        r = shutdowns.withColumns({"_a": F.row_number().over(up), "_z": F.row_number().over(down)})
-        proof = r.groupBy(*key).agg(F.max(F.when(F.col("_a") == 3, F.col("elev"))).alias("_pmin"), F.max(F.when(F.col("_z") == 3, F.col("elev"))).alias("_pmax"))
-        d = d.join(proof, key, "left")
-    else:
-        d = d.withColumns({"_pmin": F.lit(None).cast("double"), "_pmax": F.lit(None).cast("double")})
-    d = d.withColumn("_c", F.explode(F.array(*grids)))
-    barred = F.when(F.col("_c.side") == "low", F.col("_c.crit") > F.col("_pmin")).otherwise(F.col("_c.crit") < F.col("_pmax"))
-    dist = F.col("elev") - F.col("_c.crit")
-    d = d.filter(~F.coalesce(barred, F.lit(False)))
-    d = d.select(*key, F.col("_c.side").alias("side"), F.col("_c.crit").alias("crit"), (dist > 0).alias("above"), F.abs(dist).alias("dist"), "elev", "pred", "residual", "ts")
-    w = Window.partitionBy(*key, "side", "crit", "above").orderBy("dist", "ts")
-    d = d.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= K.OBSTRUCTION_K_SIDE)
-    gated = F.when(F.col("side") == "low", ~F.col("above")).otherwise(F.col("above"))
-    null_err, gate_err = F.col("residual") - F.col("pred"), F.when(gated, F.col("residual")).otherwise(F.col("residual") - F.col("pred"))
-    a = d.groupBy(*key, "side", "crit").agg(
-        F.count_if("above").alias("n_above"), F.count_if(~F.col("above")).alias("n_below"),
-        (F.max("elev") - F.min("elev")).alias("span"), F.sum(null_err * null_err).alias("sse_null"), F.sum(gate_err * gate_err).alias("sse_gated"))
+        r = shutdowns.filter("elev is not null").withColumns({"_i": F.row_number().over(up), "_z": F.row_number().over(down)})
+        proof = r.groupBy(*key).agg(F.max(F.when(F.col("_i") == 3, F.col("elev"))).alias("_pmin"), F.max(F.when(F.col("_z") == 3, F.col("elev"))).alias("_pmax"))
+        barred = F.when(F.col("side") == "low", F.col("crit") > F.col("_pmin")).otherwise(F.col("crit") < F.col("_pmax"))
+        d = d.join(proof, key, "left").filter(~F.coalesce(barred, F.lit(False)))
+    low = F.col("side") == "low"
+    a = d.select(
+        *key, "side", "crit", F.col("_a.n").alias("n_above"), F.col("_b.n").alias("n_below"), (F.col("_a.edge") - F.col("_b.edge")).alias("span"),
+        (F.col("_a.null") + F.col("_b.null")).alias("sse_null"), F.when(low, F.col("_a.null") + F.col("_b.gated")).otherwise(F.col("_a.gated") + F.col("_b.null")).alias("sse_gated"))
     a = a.filter((F.col("span") <= K.OBSTRUCTION_MAX_ANGLE) & (F.col("n_above") >= K.OBSTRUCTION_MIN_SIDE) & (F.col("n_below") >= K.OBSTRUCTION_MIN_SIDE) & (F.col("sse_null") > 1e-12))
     a = a.withColumn("gain", rnd(1 - F.col("sse_gated") / F.col("sse_null"), 6))
     n = F.col("n_above") + F.col("n_below")

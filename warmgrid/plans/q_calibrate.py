@@ -285,8 +285,8 @@ def _(t):
     return C.transmittance_sweep(C.solar_samples(fit_hours(t), "diagnose").filter("drop_reason is null").drop("ps", "pe", "pw"))
 
 
-def obstruction_samples(t):
-    d = C.solar_samples(E.enrich_potential_4d(fit_hours(t)), "diagnose").filter("drop_reason is null and not saturated and not is_shutdown")
+def obstruction_samples(t, shutdown=False):
+    d = C.solar_samples(E.enrich_potential_4d(fit_hours(t)), "diagnose").filter("drop_reason is null and not saturated").filter(F.col("is_shutdown") == shutdown)
     total = sum((F.col(f"p4_{f}") for f in "sewd"), F.lit(0.0))
     beams = F.array(*[F.struct(F.lit(f).alias("facade"), F.col(f"p4_{f}").alias("p")) for f in "sew"])
     d = d.withColumns({"_total": total, "_b": F.explode(beams)}).filter((F.col("_total") > 0) & (F.col("_b.p") / F.col("_total") > 0.4))
@@ -295,26 +295,41 @@ def obstruction_samples(t):
 
 
 OBST_OUT = "site_id:i unit_id:s facade:s side:s crit:f n_above:i n_below:i gain:f learned:b"
-add_oracle_tables(obst_samples="""
+OBST_ROWS = """
 WITH b AS (SELECT l.*, dni * cos(radians(l.sun_elev)) AS beam, h.sun_azim AS az, 0.3 + 0.7 * l.correction_percent / 100 AS ts_, CASE WHEN l.screen_e THEN 0.3 + 0.7 * l.correction_percent / 100 ELSE 1 END AS te, CASE WHEN l.screen_w THEN 0.3 + 0.7 * l.correction_percent / 100 ELSE 1 END AS tw
- FROM fit_labels l JOIN (SELECT site_id, ts, sun_azim FROM hourly_log) h ON l.site_id = h.site_id AND l.ts = h.ts WHERE drop_reason IS NULL AND NOT saturated AND NOT is_shutdown AND l.sun_elev > 0),
+ FROM fit_labels l JOIN (SELECT site_id, ts, sun_azim FROM hourly_log) h ON l.site_id = h.site_id AND l.ts = h.ts WHERE drop_reason IS NULL AND NOT saturated AND is_shutdown = {} AND l.sun_elev > 0),
 p AS (SELECT *, beam * greatest(0, -cos(radians(az))) * ts_ AS a_s, beam * greatest(0, sin(radians(az))) * te AS a_e, beam * greatest(0, -sin(radians(az))) * tw AS a_w, dhi * 0.5 * (ts_ + te + tw) / 3 AS a_d FROM b),
 f AS (SELECT *, 's' AS facade, a_s AS own FROM p UNION ALL SELECT *, 'e', a_e FROM p UNION ALL SELECT *, 'w', a_w FROM p)
-SELECT site_id, unit_id, facade, sun_elev AS elev, own * 0.0005 AS pred, impact - (a_s + a_e + a_w + a_d - own) * 0.0005 AS residual, ts FROM f WHERE a_s + a_e + a_w + a_d > 0 AND own / (a_s + a_e + a_w + a_d) > 0.4""")
+SELECT site_id, unit_id, facade, sun_elev AS elev, own * 0.0005 AS pred, impact - (a_s + a_e + a_w + a_d - own) * 0.0005 AS residual, ts FROM f WHERE a_s + a_e + a_w + a_d > 0 AND own / (a_s + a_e + a_w + a_d) > 0.4"""
+add_oracle_tables(
+    obst_samples=OBST_ROWS.format("false"), obst_shutdowns=OBST_ROWS.format("true"),
+    obst_proof="""
+SELECT site_id, unit_id, facade, max(elev) FILTER (lo = 3) AS pmin, max(elev) FILTER (hi = 3) AS pmax FROM (SELECT *, row_number() OVER (PARTITION BY site_id, unit_id, facade ORDER BY elev) AS lo,
+ row_number() OVER (PARTITION BY site_id, unit_id, facade ORDER BY elev DESC) AS hi FROM obst_shutdowns) GROUP BY 1, 2, 3""")
 
 
-@query("fit_obstruction", "C7", OBST_OUT, """
+def obstruction_sql(allowed="true"):
+    return f"""
 WITH c AS (SELECT 'low' AS side, 5.0 + i AS crit FROM (SELECT unnest(range(36)) AS i) UNION ALL SELECT 'high', 15.0 + i FROM (SELECT unnest(range(56)) AS i)),
 x AS (SELECT s.*, c.side, c.crit, elev > crit AS above, row_number() OVER (PARTITION BY site_id, unit_id, facade, side, crit, elev > crit ORDER BY abs(elev - crit), ts) AS rk FROM obst_samples s JOIN c ON true),
 a AS (SELECT site_id, unit_id, facade, side, crit, count(*) FILTER (above) AS n_above, count(*) FILTER (NOT above) AS n_below, max(elev) - min(elev) AS span, sum(power(residual - pred, 2)) AS sn,
  sum(CASE WHEN (side = 'low') <> above THEN residual * residual ELSE power(residual - pred, 2) END) AS sg FROM x WHERE rk <= 20 GROUP BY 1, 2, 3, 4, 5),
-b AS (SELECT *, round(1 - sg / sn + 1e-9, 6) AS gain FROM a WHERE n_above >= 10 AND n_below >= 10 AND span <= 25 AND sn > 1e-12)
+b AS (SELECT *, round(1 - sg / sn + 1e-9, 6) AS gain FROM a WHERE n_above >= 10 AND n_below >= 10 AND span <= 25 AND sn > 1e-12 AND {allowed})
 SELECT site_id, unit_id, facade, side, crit, n_above, n_below, gain, gain >= 0.3 AND sqrt(sn / (n_above + n_below)) - sqrt(sg / (n_above + n_below)) >= 0.05 AS learned FROM (
-SELECT *, row_number() OVER (PARTITION BY site_id, unit_id, facade, side ORDER BY gain DESC, crit) AS rk FROM b) WHERE rk = 1""")
+SELECT *, row_number() OVER (PARTITION BY site_id, unit_id, facade, side ORDER BY gain DESC, crit) AS rk FROM b) WHERE rk = 1"""
+
+
+@query("fit_obstruction", "C7", OBST_OUT, obstruction_sql())
 def _(t):
     return C.fit_obstruction(obstruction_samples(t))
 
 
+@query("fit_obstruction_bounded", "C7", OBST_OUT, obstruction_sql("""NOT EXISTS (SELECT 1 FROM obst_proof q WHERE q.site_id = a.site_id AND q.unit_id = a.unit_id AND q.facade = a.facade
+ AND CASE WHEN a.side = 'low' THEN a.crit > q.pmin ELSE a.crit < q.pmax END)"""))
+def _(t):
+    return C.fit_obstruction(obstruction_samples(t), obstruction_samples(t, shutdown=True))
+
+
 @query("obstruction_stability", "C7 P11", "site_id:i unit_id:s facade:s side:s crit:f agreeing:i stable_across_windows:b")
 def _(t):
     return C.obstruction_stability(obstruction_samples(t), F.to_date(F.lit("2024-02-15")))
