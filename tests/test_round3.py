@@ -6,6 +6,7 @@ import random
 
 from warmgrid import constants as K
 from warmgrid.operators import calibrate as C
+from warmgrid.operators import joins as J
 from warmgrid.operators import sequential as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -69,3 +70,29 @@ def test_screen_rules():
     assert scr.outlier(float("nan"), 1.0, 1.0, 0.1) and scr.outlier(0.0, 50.0, 1.0, 0.1) and scr.dump() == before
     assert scr.outlier(4.0, 1.0, 1.0, 0.1) and scr.dump()["rejected"] == [4.0]
     assert not scr.outlier(0.0, 1.0, 1.0, 0.1) and scr.dump()["rejected"] == [] and len(scr.dump()["base"]) == 31
+
+
+def test_ladder_in_a_plan_equals_the_ladder_beside_it(spark):
+    rng = random.Random(4)
+    model, cells = [], {}
+    for site in (1, 2, 3):
+        order = [(t, b) for t in range(-6, 24) for b in K.WIND_BUCKETS if rng.random() < 0.25]
+        rng.shuffle(order)
+        for i, (t, b) in enumerate(order):
+            v = round(rng.choice([0.0, rng.uniform(0.2, 3)]), 5)
+            model.append((site, t, b, v, T0 + dt.timedelta(hours=i)))
+            cells.setdefault(site, {}).setdefault(str(t), {})[b] = v
+    hours = [(site, i, t, b, t + rng.uniform(-0.5, 0.5)) for site in (1, 2, 3, 4) for i, (t, b) in enumerate((t, b) for t in range(-12, 30) for b in K.WIND_BUCKETS)]
+    h = spark.createDataFrame(hours, "site_id long, i int, temp_key int, wind_bucket string, temp double")
+    m = spark.createDataFrame(model, "site_id long, temp_key int, wind_bucket string, kwh double, first_ts timestamp")
+    got = {(r.site_id, r.i): r.predicted for r in J.attach_model_with_fallback(h, m).collect()}
+    for site, i, t, b, temp in hours:
+        assert math.isclose(got[site, i], J.laddered_value(J.slot_in(cells.get(site, {}), t, b), temp), abs_tol=1.1e-3), (site, t, b)
+
+
+def test_gaps_are_filled_from_the_import_and_from_the_log(spark):
+    hour = lambda i: T0 + dt.timedelta(hours=i)
+    log = spark.createDataFrame([(1, hour(i), 5.0, 2.0) for i in range(6) if i % 3], "site_id long, ts timestamp, temp double, actual_kwh double")
+    new = spark.createDataFrame([(s, hour(i), 9.0) for s in (1, 2) for i in range(6)], "site_id long, ts timestamp, temp double")
+    got = {(r.site_id, r.ts): (r.temp, r.actual_kwh) for r in J.insert_missing(log, new).collect()}
+    assert got == {**{(s, hour(i)): (9.0, None) for s in (1, 2) for i in range(6)}, **{(1, hour(i)): (5.0, 2.0) for i in range(6) if i % 3}}

@@ -19,22 +19,45 @@ def attach_model(hours: DataFrame, model: DataFrame, keys=("site_id",), out: str
     return hours.join(m, [*keys, "temp_key", "wind_bucket"], "left")
 
 
-def _resolved(cell: str, bucket: str) -> str:
-    """SQL: a cell's value for a bucket or, heating data only, for the best other one."""
-    order = {"extreme_wind": ("extreme_wind", "high_wind", "normal"), "high_wind": ("high_wind", "normal", "extreme_wind"),
-             "normal": ("normal", "high_wind", "extreme_wind")}.get(bucket, (bucket,))
-    return f"coalesce({', '.join(f'{cell}.{b}' for b in order)})"
+# buckets that stand in for one, best first: at the same temperature, and at another
+CALMER = {"extreme_wind": ("high_wind", "normal"), "high_wind": ("normal",), "normal": (), K.COOLING_BUCKET: ()}
+STAND_IN = {"extreme_wind": ("extreme_wind", "high_wind", "normal"), "high_wind": ("high_wind", "normal", "extreme_wind"),
+            "normal": ("normal", "high_wind", "extreme_wind"), K.COOLING_BUCKET: (K.COOLING_BUCKET,)}
 
 
-def _calmer(cell: str, bucket: str) -> str:
-    return {"extreme_wind": f"coalesce({cell}.high_wind, {cell}.normal)", K.COOLING_BUCKET: "CAST(NULL AS DOUBLE)"}.get(bucket, f"{cell}.normal")
+def _first(cell: str, order: tuple[str, ...]) -> str:
+    """SQL: the first value a cell has, of buckets in that order."""
+    return f"coalesce({', '.join(f'{cell}.{b}' for b in order)})" if order else "CAST(NULL AS DOUBLE)"
+
+
+def slot_in(cells: dict[str, dict[str, float]], key: int, bucket: str) -> dict:
+    """What ``pack_model`` stores for a temperature and bucket, of cells in the order they were learned."""
+    first = lambda cell, order: next((cell[b] for b in order if b in cell), None)
+    own = cells.get(str(key), {})
+    beside = [cell[bucket] for cell in (cells.get(str(key + step), {}) for step in (-1, 1)) if bucket in cell]
+    far_key = min((int(k) for k, cell in cells.items() if cell and k != str(key)), key=lambda k: abs(k - key), default=None)
+    far = first(own if far_key is None else cells[str(far_key)], STAND_IN[bucket])
+    return {"exact": own.get(bucket), "mid": sum(beside) / len(beside) if beside else first(own, CALMER[bucket]), "far": far, "far_key": far_key}
+
+
+def laddered_value(slot: dict, temp: float, bp: float = K.BALANCE_POINT) -> float:
+    """``laddered`` for one slot outside a plan, where cells change from hour to hour."""
+    dt, far = abs(bp - temp), slot["far"] or 0.0
+    if slot["exact"] is not None:
+        return slot["exact"]
+    if dt <= 4.0 and slot["mid"] is not None:
+        return slot["mid"]
+    if slot["far_key"] is None or far <= 0.001:
+        return far if slot["far_key"] is None else 0.0
+    src = abs(bp - slot["far_key"])
+    return far if src < (1.0 if dt > 4.0 else 0.5) else round(far * dt / src, 3)
 
 
 def _slot(bucket: str) -> str:
     """SQL: what a lookup may need of temperature ``x`` and a bucket."""
     lo, hi, near = f"IF(x.below.temp_key = x.t - 1, x.below.{bucket}, NULL)", f"IF(x.above.temp_key = x.t + 1, x.above.{bucket}, NULL)", "x.near"
-    return (f"named_struct('exact', x.own.{bucket}, 'mid', coalesce(({lo} + {hi}) / 2.0D, {lo}, {hi}, {_calmer('x.own', bucket)}), "
-            f"'far', IF({near} IS NULL, {_resolved('x.own', bucket)}, {_resolved(near, bucket)}), 'far_key', {near}.temp_key)")
+    return (f"named_struct('exact', x.own.{bucket}, 'mid', coalesce(({lo} + {hi}) / 2.0D, {lo}, {hi}, {_first('x.own', CALMER[bucket])}), "
+            f"'far', IF({near} IS NULL, {_first('x.own', STAND_IN[bucket])}, {_first(near, STAND_IN[bucket])}), 'far_key', {near}.temp_key)")
 
 
 def pack_model(model: DataFrame, keys: list[str]) -> DataFrame:

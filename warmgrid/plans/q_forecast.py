@@ -118,12 +118,12 @@ def _(t):
 
 @query("forecast_day", "X2", "site_id:i local_date:d hour:i how:s temperature:f wind_speed:f", """
 WITH w AS (SELECT site_id, local_date, unnest(range(24)) AS hour FROM (SELECT DISTINCT site_id, local_date FROM forecast_items)),
-i AS (SELECT * FROM forecast_items WHERE source = 'primary' AND hour % 5 <> 0 AND day(local_date) % 4 <> 0), d AS (SELECT site_id, local_date, avg(temperature) AS temperature, avg(wind_speed) AS wind_speed FROM forecast_items GROUP BY 1, 2),
+i AS (SELECT * FROM forecast_items WHERE source = 'primary'), d AS (SELECT site_id, local_date, avg(temperature) AS temperature, avg(wind_speed) AS wind_speed FROM forecast_items GROUP BY 1, 2),
 j AS (SELECT w.*, (SELECT max(hour) FROM i WHERE i.site_id = w.site_id AND i.local_date = w.local_date AND i.hour <= w.hour) AS prev, (SELECT min(hour) FROM i WHERE i.site_id = w.site_id AND i.local_date = w.local_date AND i.hour > w.hour) AS nxt FROM w)
 SELECT j.site_id, j.local_date, j.hour, CASE WHEN prev = j.hour THEN 'item' WHEN coalesce(prev, nxt) IS NOT NULL THEN 'filled' ELSE 'daily' END AS how, coalesce(i.temperature, d.temperature) AS temperature, coalesce(i.wind_speed, d.wind_speed) AS wind_speed
 FROM j LEFT JOIN i ON i.site_id = j.site_id AND i.local_date = j.local_date AND i.hour = coalesce(prev, nxt) JOIN d ON d.site_id = j.site_id AND d.local_date = j.local_date""")
 def _(t):
-    items = t.forecast.filter((F.col("source") == "primary") & (F.col("hour") % 5 != 0) & (F.dayofmonth("local_date") % 4 != 0))
+    items = t.forecast.filter(F.col("source") == "primary")
     daily = t.forecast.groupBy("site_id", "local_date").agg(F.avg("temperature").alias("temperature"), F.avg("wind_speed").alias("wind_speed"))
     return X.forecast_day(items, t.forecast.select("site_id", "local_date").distinct(), daily)
 

@@ -11,10 +11,10 @@ from warmgrid.plans.registry import query
 from warmgrid.sources.fixture_tables import add_oracle_tables
 
 add_oracle_tables(
-    # a deliberately patchy model, so every branch of the fallback ladder is taken
+    # means without auxiliary heat: temperatures and buckets that never occurred are its gaps
     patchy_base="""
 SELECT site_id, CAST(round_even(temp, 0) AS INT) AS temp_key, wind_bucket, round(avg(actual_kwh) + 1e-9, 5) AS kwh, min(ts) AS first_ts, count(*) AS n
-FROM hourly_log WHERE NOT auxiliary_active AND CAST(round_even(temp, 0) AS INT) % 4 IN (0, 1) AND n % 2 = 0 GROUP BY 1, 2, 3""",
+FROM hourly_log WHERE NOT auxiliary_active GROUP BY 1, 2, 3""",
     unit_cells="""
 SELECT u.*, CAST(round_even(h.temp, 0) AS INT) AS temp_key, h.wind_bucket, h.auxiliary_active, h.solar_factor, h.temp
 FROM hourly_unit u JOIN hourly_log h ON u.site_id = h.site_id AND u.ts = h.ts""",
@@ -26,7 +26,7 @@ def keyed(t):
 
 
 def patchy_base(t):
-    h = keyed(t).filter(~F.col("auxiliary_active") & (F.col("temp_key") % 4).isin(0, 1) & (F.col("n") % 2 == 0))
+    h = keyed(t).filter(~F.col("auxiliary_active"))
     return h.groupBy("site_id", "temp_key", "wind_bucket").agg(
         F.round(F.avg("actual_kwh") + 1e-9, 5).alias("kwh"), F.min("ts").alias("first_ts"), F.count("*").alias("n"))
 
@@ -142,11 +142,11 @@ def _(t):
 
 
 @query("insert_missing", "J8", "site_id:i ts:t temp:f actual_kwh:f", """
-SELECT h.site_id, h.ts, h.temp, h.actual_kwh FROM hourly_log h WHERE hour % 3 <> 0
-UNION ALL SELECT f.site_id, f.ts, f.temperature, NULL FROM forecast_items f ANTI JOIN (SELECT * FROM hourly_log WHERE hour % 3 <> 0) k ON f.site_id = k.site_id AND f.ts = k.ts WHERE source = 'primary'""")
+SELECT h.site_id, h.ts, h.temp, h.actual_kwh FROM hourly_log h
+UNION ALL SELECT f.site_id, f.ts, f.temperature, NULL FROM forecast_items f ANTI JOIN hourly_log k ON f.site_id = k.site_id AND f.ts = k.ts WHERE source = 'primary'""")
 def _(t):
     imported = t.forecast.filter(F.col("source") == "primary").select("site_id", "ts", F.col("temperature").alias("temp"))
-    return J.insert_missing(t.hourly_log.filter(F.col("hour") % 3 != 0), imported)
+    return J.insert_missing(t.hourly_log, imported)
 
 
 def originators(cells):
@@ -288,7 +288,7 @@ def _(t):
 
 
 @query("redistribute_aux", "U3", "site_id:i unit_id:s temp_key:i wind_bucket:s kw:f", """
-WITH aux AS (SELECT site_id, unit_id, temp_key, wind_bucket, kwh * 0.3 AS kw FROM unit_obs WHERE obs_count > 2 AND (unit_id = 'unit_1' OR obs_count % 2 = 0)),
+WITH aux AS (SELECT site_id, unit_id, temp_key, wind_bucket, kwh * 0.3 AS kw FROM unit_obs WHERE obs_count > 2),
 stay AS (SELECT * FROM aux WHERE unit_id <> 'unit_1'), pool AS (SELECT site_id, temp_key, wind_bucket, kw AS pool FROM aux WHERE unit_id = 'unit_1' AND kw > 0),
 tot AS (SELECT site_id, temp_key, wind_bucket, sum(kw) AS w FROM stay GROUP BY 1, 2, 3),
 prim AS (SELECT site_id, arg_max(unit_id, kwh) AS unit_id FROM (SELECT site_id, unit_id, sum(actual_kwh) AS kwh FROM hourly_unit WHERE unit_id <> 'unit_1' GROUP BY 1, 2) GROUP BY 1),
@@ -300,7 +300,7 @@ FROM stay s FULL JOIN addition a ON s.site_id = a.site_id AND s.unit_id = a.unit
 LEFT JOIN unit_obs o ON o.site_id = coalesce(s.site_id, a.site_id) AND o.unit_id = coalesce(s.unit_id, a.unit_id) AND o.temp_key = coalesce(s.temp_key, a.temp_key) AND o.wind_bucket = coalesce(s.wind_bucket, a.wind_bucket)""")
 def _(t):
     obs = unit_obs(t)
-    aux = obs.filter((F.col("obs_count") > 2) & ((F.col("unit_id") == "unit_1") | (F.col("obs_count") % 2 == 0))).select(
+    aux = obs.filter(F.col("obs_count") > 2).select(
         "site_id", "unit_id", "temp_key", "wind_bucket", (F.col("kwh") * 0.3).alias("kw"))
     removed = t.units.filter(F.col("unit_id") == "unit_1").select("site_id", "unit_id")
     usage = t.hourly_unit.groupBy("site_id", "unit_id").agg(F.sum("actual_kwh").alias("kwh"))

@@ -109,12 +109,12 @@ SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.local_date, n.local
   CASE WHEN n.kwh IS NULL THEN false WHEN o.kwh IS NULL THEN n_hours >= 20 ELSE NOT (abs(n.kwh - o.kwh) > greatest(1, 0.05 * o.kwh) AND o.kwh > n.kwh) END AS from_log,
   CASE WHEN n.kwh IS NOT NULL AND (o.kwh IS NULL OR NOT (abs(n.kwh - o.kwh) > greatest(1, 0.05 * o.kwh) AND o.kwh > n.kwh)) THEN n.kwh ELSE o.kwh END AS kwh,
   CASE WHEN n.kwh IS NOT NULL AND (o.kwh IS NULL OR NOT (abs(n.kwh - o.kwh) > greatest(1, 0.05 * o.kwh) AND o.kwh > n.kwh)) THEN n.temp ELSE o.temp END AS temp
-FROM (SELECT site_id, local_date, kwh * CASE WHEN day(local_date) % 2 = 0 THEN 1.2 ELSE 0.9 END AS kwh, temp FROM day_agg WHERE day(local_date) % 3 <> 0) o
+FROM (SELECT site_id, local_date, kwh * CASE WHEN day(local_date) % 2 = 0 THEN 1.2 ELSE 0.9 END AS kwh, temp FROM day_agg) o
 FULL JOIN (SELECT * FROM day_agg) n ON o.site_id = n.site_id AND o.local_date = n.local_date
 WHERE o.kwh IS NOT NULL OR n_hours >= 20""")
 def _(t):
     fresh = O.daily_scalars(t.hourly_log)
-    stored = fresh.filter(F.dayofmonth("local_date") % 3 != 0).withColumn(
+    stored = fresh.withColumn(
         "kwh", F.col("kwh") * F.when(F.dayofmonth("local_date") % 2 == 0, 1.2).otherwise(0.9))
     return O.backfill_daily(stored, fresh, ["kwh", "temp"])
 

@@ -13,15 +13,15 @@ from warmgrid.plans.q_timeseries import south_gates, unit_sun
 from warmgrid.plans.registry import query
 from warmgrid.sources.fixture_tables import add_oracle_tables
 
-# --- the models the score reads: plain means with holes, so fallbacks are taken ---
+# --- the models the score reads: plain means; cells that never occurred are their gaps ---
 
 add_oracle_tables(
     m_base="""SELECT site_id, CAST(round_even(temp, 0) AS INT) AS temp_key, wind_bucket, round(avg(actual_kwh) + 1e-9, 5) AS kwh, min(ts) AS first_ts
-FROM hourly_log WHERE CAST(round_even(temp, 0) AS INT) % 3 <> 0 GROUP BY 1, 2, 3""",
-    m_aux="""SELECT site_id, temp_key, wind_bucket, round(kwh * 0.3 + 1e-9, 5) AS kwh, first_ts FROM m_base WHERE temp_key % 2 = 0""",
+FROM hourly_log GROUP BY 1, 2, 3""",
+    m_aux="""SELECT site_id, temp_key, wind_bucket, round(kwh * 0.3 + 1e-9, 5) AS kwh, first_ts FROM m_base""",
     m_unit="""SELECT site_id, unit_id, temp_key, CASE WHEN mode = 'cooling' THEN 'cooling' ELSE wind_bucket END AS wind_bucket, round(avg(actual_kwh) + 1e-9, 5) AS kwh, min(ts) AS first_ts
-FROM unit_cells WHERE temp_key % 3 <> 1 GROUP BY 1, 2, 3, 4""",
-    m_unit_aux="""SELECT site_id, unit_id, temp_key, wind_bucket, round(kwh * 0.4 + 1e-9, 5) AS kwh, first_ts FROM m_unit WHERE temp_key % 5 <> 0""",
+FROM unit_cells GROUP BY 1, 2, 3, 4""",
+    m_unit_aux="""SELECT site_id, unit_id, temp_key, wind_bucket, round(kwh * 0.4 + 1e-9, 5) AS kwh, first_ts FROM m_unit""",
     m_solar="""SELECT site_id, unit_id, regime, round(x * 0.5 + 1e-9, 4) AS s, round(x * 0.3 + 1e-9, 4) AS e, round(x * 0.2 + 1e-9, 4) AS w, round(x * 0.0004 + 1e-9, 6) AS d,
  unit_id <> 'unit_3' OR regime = 'heating' AND site_id % 2 = 0 AS learned FROM (SELECT site_id, unit_id, CASE WHEN mode IN ('cooling','guest_cooling') THEN 'cooling' ELSE 'heating' END AS regime, avg(actual_kwh) AS x FROM hourly_unit GROUP BY 1, 2, 3)""",
     score_hours="""SELECT h.site_id, h.ts, h.local_date, h.hour, temp, CAST(round_even(temp, 0) AS INT) AS temp_key, effective_wind, wind_bucket, auxiliary_active, actual_kwh, solar_factor, cloud_coverage,
@@ -92,15 +92,15 @@ SELECT {keys}, {rnd("tk_", "total_kwh")}, {rnd("gb", "base_kwh")}, {rnd("ga", "a
 
 
 def models(t) -> M.Models:
-    h = keyed(t).filter((F.col("temp_key") % 3) != 0)
+    h = keyed(t)
     r5 = lambda x: F.round(x + 1e-9, 5)
     base = h.groupBy("site_id", "temp_key", "wind_bucket").agg(r5(F.avg("actual_kwh")).alias("kwh"), F.min("ts").alias("first_ts"))
     base = t.stored("m_base", lambda b=base: b)
-    aux = base.filter(F.col("temp_key") % 2 == 0).withColumn("kwh", r5(F.col("kwh") * 0.3))
-    u = unit_cells(t).filter((F.col("temp_key") % 3) != 1).withColumn("wind_bucket", F.when(F.col("mode") == "cooling", "cooling").otherwise(F.col("wind_bucket")))
+    aux = base.withColumn("kwh", r5(F.col("kwh") * 0.3))
+    u = unit_cells(t).withColumn("wind_bucket", F.when(F.col("mode") == "cooling", "cooling").otherwise(F.col("wind_bucket")))
     ub = u.groupBy("site_id", "unit_id", "temp_key", "wind_bucket").agg(r5(F.avg("actual_kwh")).alias("kwh"), F.min("ts").alias("first_ts"))
     ub = t.stored("m_unit", lambda b=ub: b)
-    ux = ub.filter((F.col("temp_key") % 5) != 0).withColumn("kwh", r5(F.col("kwh") * 0.4))
+    ux = ub.withColumn("kwh", r5(F.col("kwh") * 0.4))
     regime = F.when(F.col("mode").isin("cooling", "guest_cooling"), "cooling").otherwise("heating")
     x = t.hourly_unit.groupBy("site_id", "unit_id", regime.alias("regime")).agg(F.avg("actual_kwh").alias("x"))
     sol = x.select("site_id", "unit_id", "regime", *[F.round(F.col("x") * k + 1e-9, 4).alias(n) for n, k in (("s", 0.5), ("e", 0.3), ("w", 0.2))],
