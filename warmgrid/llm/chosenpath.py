@@ -344,8 +344,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, small: int = SMALL) -> D
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest id; of rows that repeat it, one); the columns stay."""
+    """One document of each group of near-duplicates (the smallest id); the columns stay.
+
+    An id names one document: of rows that repeat it one stays, the same in every run (a row with a text
+    before one without, then by a hash of all its columns).
+    """
     found = near_duplicates(docs, percent)
     gone = stored(found.where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    # a row is carried whole, so that no name of the table can clash; equal ranks are equal rows
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = named.groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), F.xxhash64(row))).alias("kept_row"))
+    return least.select("kept_row.*").unionAll(docs.where(F.col("doc_id").isNull()))

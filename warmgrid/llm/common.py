@@ -32,6 +32,12 @@ def id_remainder(col: Column | str, divisor: int) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % divisor
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with only the ``used`` columns under their own names, and the columns that give all of them back."""
+    names = [c if c in used else f"_kept_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 # -- shared folder -----------------------------------------------------------------
 
 _SCRATCH: dict[str, str] = {}

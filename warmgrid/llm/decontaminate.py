@@ -11,9 +11,10 @@ passage of the window.
 Items are taken in blocks of at most ``block_chars`` characters (one item at least); a block is
 what a task holds and what is broadcast, and every block meets all rows.
 
-Defined results: a null text or item counts as empty; an item with fewer than ``least``
-normalised characters is too short to tell and matches nothing; equal item texts are all reported;
-repeated rows get equal results; an empty item table marks nothing; extra columns are ignored.
+Defined results: a null text or item counts as empty, and an empty item matches nothing; an item with fewer
+than ``least`` normalised characters has no edits to spare and is found only whole, between blanks
+or the ends of the text; equal item texts are all reported; repeated rows get equal results; an empty
+item table marks nothing; extra columns keep their names and values (``hits`` is replaced by ``contaminated`` alone).
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ class Item:
     item_id: int
     text: str
     budget: int
+    whole: bool = False  # found only between blanks or the ends of a text
 
     def pieces(self) -> list[tuple[int, str]]:
         """budget + 1 pieces of nearly equal length: (offset, piece)."""
@@ -119,6 +121,11 @@ class Finder:
         found = []
         for k, starts in begins.items():
             item = self.items[k]
+            if item.whole:
+                ends = (s + len(item.text) for s in starts if not s or text[s - 1] == " ")
+                if any(e == len(text) or text[e] == " " for e in ends):
+                    found.append((item.item_id, 0))
+                continue
             m, budget = len(item.text), item.budget
             best, upto = m, None
             for s in sorted(starts):
@@ -146,7 +153,7 @@ class Finder:
 
 def item_blocks(benchmark: DataFrame, rate: float = RATE, least: int = LEAST, block_chars: int = 4_000_000) -> Iterator[list[Item]]:
     """The items in blocks of at most ``block_chars`` characters (or one item), in the order of a hash."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("text")).where(F.length("text") >= least)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("text")).where("text != ''")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // (block_chars // 2)) or 1
     for part in range(parts):
@@ -155,41 +162,52 @@ def item_blocks(benchmark: DataFrame, rate: float = RATE, least: int = LEAST, bl
             if block and size + len(r["text"]) > block_chars:
                 yield block
                 block, size = [], 0
-            block.append(Item(-1 if r["item_id"] is None else r["item_id"], r["text"], int(rate * len(r["text"]))))
+            block.append(Item(-1 if r["item_id"] is None else r["item_id"], r["text"], int(rate * len(r["text"])) if len(r["text"]) >= least else 0, len(r["text"]) < least))
             size += len(r["text"])
         if block:
             yield block
 
 
-def hits(docs: DataFrame, items: list[Item]) -> DataFrame:
-    """``docs`` with ``hits``: the items of one block found in each text, with their distance."""
+def free_name(docs: DataFrame, stem: str) -> str:
+    """A column name like ``stem`` that ``docs`` does not have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (f"_{stem}_{i}" for i in range(len(taken) + 1)) if n not in taken)
+
+
+def hits(docs: DataFrame, items: list[Item], name: str = "hits") -> DataFrame:
+    """``docs`` with ``name``: the items of one block found in each text, with their distance."""
     block = docs.sparkSession.sparkContext.broadcast(items)
-    plain = docs.withColumn("_norm", normalised(F.col("text")))
-    schema = StructType(docs.schema.fields + StructType.fromDDL("hits array<struct<item_id:bigint,distance:int>>").fields)
+    norm = free_name(docs, "norm")
+    plain = docs.withColumn(norm, normalised(F.col("text")))
+    schema = StructType(docs.schema.fields + StructType.fromDDL(f"`{name}` array<struct<item_id:bigint,distance:int>>").fields)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(block.value)
-        for b in bounded(batches, "_norm"):
-            found = [[{"item_id": i, "distance": d} for i, d in finder.find(t)] for t in b.column("_norm").to_pylist()]
-            keep = [i for i, f in enumerate(b.schema.names) if f != "_norm"]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [pa.array(found, kind)], [b.schema.names[i] for i in keep] + ["hits"])
+        for b in bounded(batches, norm):
+            found = [[{"item_id": i, "distance": d} for i, d in finder.find(t)] for t in b.column(norm).to_pylist()]
+            keep = [i for i, f in enumerate(b.schema.names) if f != norm]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [pa.array(found, kind)], [b.schema.names[i] for i in keep] + [name])
 
     return plain.mapInArrow(apply, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, block_chars: int = 4_000_000) -> DataFrame:
     """``docs`` with the items found: ``hits``, an array of (item_id, distance) over all blocks, ordered by item."""
-    base = docs.drop("hits") if "hits" in docs.columns else docs
-    out = None
-    for k, items in enumerate(item_blocks(benchmark, rate, least, block_chars)):
-        out = hits(base if out is None else out.withColumnRenamed("hits", f"_hits{k}"), items)
-    if out is None:
-        return base.withColumn("hits", F.array().cast("array<struct<item_id:bigint,distance:int>>"))
-    parts = [c for c in out.columns if c.startswith("_hits")] + ["hits"]
-    return out.withColumn("hits", F.array_sort(reduce(F.concat, [F.col(c) for c in parts]))).drop(*parts[:-1])
+    return _marked(docs.drop("hits"), benchmark, "hits", rate, least, block_chars)
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, name: str, rate: float = RATE, least: int = LEAST, block_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` with the hits of all blocks in a new column ``name``."""
+    out, parts = docs, []
+    for items in item_blocks(benchmark, rate, least, block_chars):
+        parts.append(free_name(out, "hits"))
+        out = hits(out, items, parts[-1])
+    every = reduce(F.concat, [F.col(c) for c in parts]) if parts else F.array().cast("array<struct<item_id:bigint,distance:int>>")
+    return out.withColumn(free_name(out, "all"), F.array_sort(every)).drop(*parts).withColumnRenamed(free_name(out, "all"), name)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """The documents that hold no test item; the columns stay."""
-    return contaminated(docs, benchmark, rate, least).where(F.size("hits") == 0).select(*docs.columns)
+    name = free_name(docs, "found")
+    return _marked(docs, benchmark, name, rate, least).where(F.size(name) == 0).drop(name)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from warmgrid.llm.common import bounded, utf8
+from warmgrid.llm.common import aside, bounded, utf8
 
 WINDOW = 512
 PAD = 32
@@ -215,5 +215,5 @@ def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, net: ByteConvNet | None, least: float = 0.3) -> DataFrame:
     """The documents whose language is identified with a score of ``least`` or more; the columns stay."""
-    scored = predict(docs, net)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    plain, back = aside(docs, "text")
+    return predict(plain, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*back)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from warmgrid.llm.common import WORD, Stored, stored
+from warmgrid.llm.common import WORD, Stored, aside, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -141,8 +141,9 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP
 def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mixed documents: every row as often as it has copies."""
     _, _, chosen = mix(docs, weights, cap)
-    counted = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    plain, back = aside(docs, "doc_id", "text", "source")
+    counted = plain.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     some = chosen.where(F.col("copies") > 0)
     pick = counted["doc_id"].eqNullSafe(some["doc_id"]) & counted["source"].eqNullSafe(some["source"]) & (counted["_size"] == some["size"])
-    joined = counted.join(some, pick).select(*[counted[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return joined.drop("_copy")
+    joined = counted.join(some, pick).select(*[counted[c] for c in plain.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return joined.select(*back)
