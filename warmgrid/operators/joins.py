@@ -174,6 +174,11 @@ def insert_missing(hourly: DataFrame, imported: DataFrame) -> DataFrame:
     return hourly.unionByName(new, allowMissingColumns=True)
 
 
+def expanded(rows: DataFrame) -> DataFrame:
+    """``rows`` of generated keys or lists, joined by sorting: the planner takes them for as small as the columns they came from, and would broadcast them."""
+    return rows.hint("merge")
+
+
 def lag_walk(originators: DataFrame, unit_hours: DataFrame, max_lag: int = 6) -> DataFrame:
     """Residual of each originator hour and of the following hours, by timestamp.
 
@@ -184,7 +189,7 @@ def lag_walk(originators: DataFrame, unit_hours: DataFrame, max_lag: int = 6) ->
     o = o.withColumn("_h", F.col("h0") + F.col("lag"))
     t = unit_hours.select("site_id", "unit_id", epoch_hours().alias("_h"), F.col("mode").alias("t_mode"), "auxiliary_active", "solar_factor",
                           (F.col("expected_kwh") - F.col("actual_kwh")).alias("residual"))
-    j = o.join(t, ["site_id", "unit_id", "_h"])
+    j = expanded(o).join(t, ["site_id", "unit_id", "_h"])
     ok = (F.col("t_mode") == F.col("mode")) & ~F.col("auxiliary_active") & ((F.col("lag") == 0) | (nz("solar_factor") <= 0.05))
     return j.filter(ok)
 
@@ -198,19 +203,21 @@ def evening_tail(originators: DataFrame, unit_hours: DataFrame, hourly: DataFram
     o = o.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("_h", F.col("dark") + F.col("k"))
     t = unit_hours.select("site_id", "unit_id", epoch_hours().alias("_h"), F.col("mode").alias("t_mode"), "auxiliary_active",
                           (F.col("expected_kwh") - F.col("actual_kwh")).alias("residual"))
-    return o.join(t, ["site_id", "unit_id", "_h"]).filter((F.col("t_mode") == F.col("mode")) & ~F.col("auxiliary_active"))
+    return expanded(o).join(t, ["site_id", "unit_id", "_h"]).filter((F.col("t_mode") == F.col("mode")) & ~F.col("auxiliary_active"))
 
 
 def recent_temps(hourly: DataFrame, at: DataFrame, hours: int, max_gap: int) -> DataFrame:
     """The last ``hours`` logged temperatures no older than ``max_gap`` before each instant.
 
     Each instant looks at most ``max_gap`` hour keys back, so it expands to that many equi-join keys.
+    Neither the keys nor the lists are sent whole to the driver.
     """
     a = at.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(max_gap)))).withColumn("_h", epoch_hours("at") - F.col("_k"))
     h = hourly.select("site_id", epoch_hours().alias("_h"), "temp")
-    g = a.join(h, ["site_id", "_h"]).groupBy("site_id", "at").agg(F.sort_array(F.collect_list(F.struct("_h", "temp"))).alias("l"))
+    g = expanded(a).join(h, ["site_id", "_h"]).groupBy("site_id", "at").agg(F.sort_array(F.collect_list(F.struct("_h", "temp"))).alias("l"))
     tail = F.slice("l", -F.least(F.size("l"), F.lit(hours)), F.least(F.size("l"), F.lit(hours)))
-    return at.join(g.select("site_id", "at", F.transform(tail, lambda x: x["temp"]).alias("temps")), ["site_id", "at"], "left")
+    lists = g.select("site_id", "at", F.transform(tail, lambda x: x["temp"]).alias("temps"))
+    return at.join(expanded(lists), ["site_id", "at"], "left")
 
 
 def attach_synthetic(hourly_unit: DataFrame, distribution: DataFrame, units: DataFrame) -> DataFrame:
