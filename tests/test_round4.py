@@ -1,7 +1,11 @@
 """Joins over generated rows, whole training sets and shared reads, on rows of their own."""
 
+import dataclasses
 import datetime as dt
 
+import numpy as np
+
+from warmgrid.llm import recurrent
 from warmgrid.operators import joins as J
 
 T0 = dt.datetime(2024, 1, 1)
@@ -32,3 +36,31 @@ def test_walks_from_each_originator_broadcast_no_expanded_keys(spark):
     assert sorted((r.lag, r.residual) for r in lags) == [(i, 2.0 - i) for i in range(7)]
     tail = J.evening_tail(first, cells, cells)
     assert sorted((r.k, r.residual) for r in tail.collect()) == [(i, 1.0 - i) for i in range(6)]
+
+
+def test_the_language_model_learns_from_every_training_document(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 17}" for j in range(12)) for i in range(96)]
+    docs = spark.createDataFrame([(i if i % 8 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # a corpus of this size has many shards
+    lex = dataclasses.replace(recurrent.lexicon(recurrent.token_counts(docs)), total=24_000_000)
+    kept = []
+
+    class Spy(recurrent.Stored):
+        def __init__(self, df, name, *rest, **more):
+            super().__init__(df, name, *rest, **more)
+            kept.extend(len(r.sym) // 2 for r in self.df.collect())
+
+    monkeypatch.setattr(recurrent, "Stored", Spy)
+    net = recurrent.fit(docs, lex)
+    assert len(kept) == 96 and sum(kept) == 96 * 13
+    assert not np.array_equal(net.p["cls_b"], recurrent.Gru.fresh(lex).p["cls_b"])
+
+
+def test_pieces_of_long_documents_hold_every_token_once(monkeypatch):
+    monkeypatch.setattr(recurrent, "PIECE", 8)
+    sym = np.arange(100, 160)
+    bounds = np.array([0, 5, 5, 45, 60])
+    inp, target, begin, live = recurrent.training_lanes(sym, bounds)
+    assert sorted(target[live].tolist()) == sym.tolist()
+    before = dict(zip(target[live].tolist(), inp[live].tolist()))
+    assert [t for t in sym if before[t] == recurrent.START] == [100, 105, 145] and before[113] == 112 and begin.sum() == 8

@@ -3,8 +3,8 @@
 Words are counted over all training documents. The ``HEAD`` commonest tokens are symbols of
 their own; every other word is a symbol of one of ``TAIL`` classes by its ending. The output is
 factored: a softmax over classes, then one over the words of a head class, or
-the class's counts (plus one) for a tail word. Replicas of the network train on shards of a fixed
-share of the training documents; after each round Spark sums their parameters chunk by chunk and
+the class's counts (plus one) for a tail word. Replicas of the network train on shards, which hold
+all training documents between them; after each round Spark sums their parameters chunk by chunk and
 the driver holds their mean only. Documents are scored from end to end: many run side by side
 in lanes, window after window, with the state carried from a window to the next.
 
@@ -36,9 +36,10 @@ KNOWN = 1 << 18
 CLASSES = HEAD // GROUP + TAIL
 START = HEAD + TAIL  # the symbol before a document
 END = np.uint64(0xE2D)  # the hash of the end token
-SHARE, LEAST_TOKENS, SHARD_TOKENS, ROUNDS = 1 / 16, 2_000_000, 1_000_000, 2
+SHARD_TOKENS, ROUNDS = 2_000_000, 2
 PASS_TOKENS, MOST_PASSES = 1_000_000, 8  # a replica reads a smaller shard several times
 LANES, STEPS = 256, 64
+TRAIN_LANES, PIECE = 128, 2048
 
 _LETTER = np.array([chr(i).isalnum() or i >= 128 for i in range(256)])
 
@@ -272,6 +273,18 @@ class Gru:
                 v -= step * m[k] / (np.sqrt(s[k]) + 1e-5)
 
 
+def training_lanes(sym: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(input, target, begin, live) of all tokens, long documents in pieces so that lanes are of about equal length.
+
+    A later piece begins without a state, but with the token before it as input.
+    """
+    cuts = np.unique(np.concatenate([bounds, *[np.arange(a, b, PIECE) for a, b in zip(bounds, bounds[1:]) if b - a > PIECE]]))
+    inp, target, begin, live, place = into_lanes(sym, cuts, int(np.clip(len(sym) // (4 * PIECE), 1, TRAIN_LANES)))
+    inside = begin & ~np.isin(place, bounds)
+    inp[inside] = sym[place[inside] - 1]
+    return inp, target, begin, live
+
+
 def into_lanes(sym: np.ndarray, bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(input, target, begin, live, place): documents laid into lanes of about equal length, longest first.
 
@@ -333,7 +346,7 @@ def _learner(net_value, first: bool):
         check, sym = (np.concatenate([parts[i] for i in part]).astype(np.int64) for part in (order[:held], order[held:] if len(order) > 1 else order))
         check_bounds, bounds = (np.concatenate([[0], np.cumsum([len(parts[i]) for i in part])]) for part in (order[:held], order[held:] if len(order) > 1 else order))
         local = Gru({k: v.copy() for k, v in net_value.value.p.items()})
-        lanes = into_lanes(sym, bounds, 64)[:4]
+        lanes = training_lanes(sym, bounds)
         # after each pass the held-back tenth of the shard is scored, and the best parameters stay
         best, kept = float(token_log_probs(local, check, check_bounds).sum()), local.p
         for _ in range(max(1, min(MOST_PASSES, round(PASS_TOKENS / max(len(sym), 1))))):
@@ -355,20 +368,17 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, lex: Lexicon) -> Gru:
-    """Rounds of local training on shards of a share of ``docs``, averaged after each.
+    """Rounds of local training on shards of ``docs``, averaged after each; every row is in one shard of one round.
 
-    The share is ``SHARE`` of the documents, or what holds about ``LEAST_TOKENS`` tokens if that is
-    more; a shard holds about ``SHARD_TOKENS``, so their number grows with the corpus, and is read
-    up to ``MOST_PASSES`` times,
-    until a replica has seen about ``PASS_TOKENS``; what does best on a held-back tenth of the shard stays.
+    A shard holds about ``SHARD_TOKENS``, so their number grows with the corpus, and is read up to ``MOST_PASSES`` times,
+    until a replica has seen about ``PASS_TOKENS``; what does best on a tenth of the shard that the pass leaves out stays.
     """
     net = Gru.fresh(lex)
     if not lex.total:
         return net
-    share = min(1.0, max(SHARE, LEAST_TOKENS / lex.total))
-    shards = max(1, round(lex.total * share / ROUNDS / SHARD_TOKENS))
-    dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(21)), F.lit(1 << 30))
-    deal = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(22)), F.lit(shards * ROUNDS)).cast("int")
+    shards = max(1, round(lex.total / ROUNDS / SHARD_TOKENS))
+    # by id and text, so that rows without an id are spread, too
+    deal = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(22)), F.lit(shards * ROUNDS)).cast("int")
     lex_value = docs.sparkSession.sparkContext.broadcast(lex)
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,12 +387,12 @@ def fit(docs: DataFrame, lex: Lexicon) -> Gru:
             rows = pa.array([sym[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("shard"), rows], ["shard", "sym"])
 
-    sample = Stored(docs.where(dice < int(share * (1 << 30))).select(deal.alias("shard"), "text").mapInArrow(symbols, "shard int, sym binary"), "lm-sample")
+    dealt = Stored(docs.select(deal.alias("shard"), "text").mapInArrow(symbols, "shard int, sym binary"), "lm-shards")
     for number in range(ROUNDS):
         net_value = docs.sparkSession.sparkContext.broadcast(net)
 
         schema = "chunk string, total binary, weight long"
-        learnt = sample.df.where(F.col("shard") % ROUNDS == number).groupBy("shard").applyInPandas(_learner(net_value, number == 0), schema)
+        learnt = dealt.df.where(F.col("shard") % ROUNDS == number).groupBy("shard").applyInPandas(_learner(net_value, number == 0), schema)
         # summed in two steps, so that no task adds up all replicas
         part = learnt.withColumn("part", F.pmod(F.xxhash64("total"), F.lit(max(1, int(shards**0.5)))))
         sums = part.groupBy("chunk", "part").applyInPandas(_add, schema).groupBy("chunk").applyInPandas(_add, schema).collect()
@@ -392,7 +402,7 @@ def fit(docs: DataFrame, lex: Lexicon) -> Gru:
             mean.setdefault(name, {})[int(i)] = np.frombuffer(r["total"]) / r["weight"]
         if mean:
             net = Gru({k: np.concatenate([mean[k][i] for i in sorted(mean[k])]).reshape(v.shape).astype(np.float32) for k, v in net.p.items()})
-    sample.drop()
+    dealt.drop()
     return net
 
 
