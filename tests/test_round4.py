@@ -5,7 +5,7 @@ import datetime as dt
 
 import numpy as np
 
-from warmgrid.llm import recurrent
+from warmgrid.llm import linededup, recurrent
 from warmgrid.operators import joins as J
 
 T0 = dt.datetime(2024, 1, 1)
@@ -64,3 +64,20 @@ def test_pieces_of_long_documents_hold_every_token_once(monkeypatch):
     assert sorted(target[live].tolist()) == sym.tolist()
     before = dict(zip(target[live].tolist(), inp[live].tolist()))
     assert [t for t in sym if before[t] == recurrent.START] == [100, 105, 145] and before[113] == 112 and begin.sum() == 8
+
+
+def test_lines_that_share_one_frequent_key_alone_meet(spark, monkeypatch):
+    lines = [("x" * n, n) for n in (60, 61, 66, 67, 100, 111, 300, 330, 333, 334)]
+    hot = spark.createDataFrame([(5, i, n) for i, (_, n) in enumerate(lines)], "key long, id long, len int")
+    met = linededup.narrower(hot)
+    pairs = {(r.a, r.b) for r in met.selectExpr("key", "id AS a").join(met.selectExpr("key", "id AS b"), "key").where("a < b").collect()}
+    assert {(i, j) for i, (_, n) in enumerate(lines) for j, (_, m) in enumerate(lines) if i < j and m - n <= m // 10} <= pairs
+    assert (0, 9) not in pairs
+
+    # the key's first line is unlike the others, and these share no second frequent key
+    one = "quartz alone kept zebra until gate under kite quiet xylo"
+    texts = {1: f"{one} mnbvc lkjhg fdsap oiuyt rewqa", 2: f"{one} mnbvc lkjhg fdsap oiuyt rewqb", 3: "nothing of this kind is in the other two lines, which are long as well"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(linededup, "HOT", 1)
+    got = {r.doc_id: r.n_dropped for r in linededup.line_counts(docs).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
