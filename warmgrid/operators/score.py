@@ -74,13 +74,16 @@ def score_units(hours: DataFrame, modes: DataFrame, models: Models, keys: list[s
     """Base, aux, solar and net per unit-hour, beside the site's ``g_base`` and ``g_aux``; a site without units has one row of an unknown unit."""
     profiles = models.profiles if models.profiles is not None else site_profiles(models)
     pots = [f"p4_{f}" for f in "sewd"] if four_d else [f"pot_{f}" for f in "sew"]
-    # the units' modes come as one list an hour; the site's row is met last, so that its arrays are read where they arrive
-    listed = modes.groupBy("site_id", "ts").agg(F.sort_array(F.collect_list(F.struct("unit_id", "mode"))).alias("_modes"))
+    # the units' modes come as one map an hour (the least mode of a repeated unit); the site's row is met last, so that its arrays are read
+    # where they arrive: an expression that leaves generated code, as a lambda does, would copy them for every unit
+    listed = modes.where("unit_id IS NOT NULL").groupBy("site_id", "ts").agg(F.sort_array(F.collect_list(F.struct("unit_id", "mode"))).alias("_all"))
+    listed = listed.select("site_id", "ts", F.map_from_entries(F.expr("filter(_all, (m, i) -> i = 0 OR get(_all, i - 1).unit_id != m.unit_id)")).alias("_modes"))
     h = hours.select(*keys, "temp", "temp_key", "wind_bucket", "auxiliary_active", "carry_state", *pots).join(listed, ["site_id", "ts"], "left")
     d = h.join(profiles.select("site_id", *[F.col(x).alias(f"_p_{x}") for x in ("base", "aux", "units")]), "site_id", "left")
-    d = d.select(
-        *h.columns, slot_of("_p_base").alias("_gb"), F.when(F.col("auxiliary_active"), slot_of("_p_aux")).alias("_ga"), F.explode_outer("_p_units").alias("u"))
-    d = d.withColumn("mode", F.expr("coalesce(get(filter(_modes, m -> m.unit_id = u.unit_id), 0).mode, 'heating')")).drop("_modes").withColumnRenamed("wind_bucket", "_wb")
+    d = d.withColumns({"_gb": slot_of("_p_base"), "_ga": F.when(F.col("auxiliary_active"), slot_of("_p_aux"))})
+    d = d.withColumns({"g_base": laddered("_gb"), "g_aux": F.when(F.col("auxiliary_active"), laddered("_ga")).otherwise(0.0)})
+    d = d.select(*h.columns, "g_base", "g_aux", F.explode_outer("_p_units").alias("u"))
+    d = d.withColumn("mode", F.coalesce(F.try_element_at("_modes", F.col("u.unit_id")), F.lit("heating"))).drop("_modes").withColumnRenamed("wind_bucket", "_wb")
     d = d.withColumns({
         "unit_id": F.col("u.unit_id"), "aux_affected": F.col("u.aux_affected"), "solar_affected": F.col("u.solar_affected"),
         "wind_bucket": F.when(F.col("mode") == "cooling", F.lit(K.COOLING_BUCKET)).otherwise(F.col("_wb")),
@@ -92,9 +95,8 @@ def score_units(hours: DataFrame, modes: DataFrame, models: Models, keys: list[s
     # all rows of an hour come together here, before they are scored and summed: as many bytes as partial
     # sums, and generated stages of a size that the JVM still compiles instead of one that it interprets
     d = d.drop("u").repartition(*keys).withColumns({
-        "g_base": laddered("_gb"), "g_aux": F.when(F.col("auxiliary_active"), laddered("_ga")).otherwise(0.0),
         "base": laddered("_b"), "raw_aux": F.when(F.col("auxiliary_active") & F.col("aux_affected"), laddered("_a")).otherwise(0.0)})
-    d = (_solar_4d if four_d else _solar_3d)(d).drop("_sun", "_wb", "_gb", "_ga", "_b", "_a")
+    d = (_solar_4d if four_d else _solar_3d)(d).drop("_sun", "_wb", "_b", "_a")
     d = d.withColumn("aux_applied", F.least("raw_aux", "base")).withColumns({
         "aux_overflow": F.col("raw_aux") - F.col("aux_applied"), "after_aux": F.col("base") - F.col("aux_applied")})
     s = S.saturate("after_aux", "solar", "mode")
