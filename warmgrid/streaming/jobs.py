@@ -188,23 +188,28 @@ class SiteLearner(OrderedFold):
 
 
 class UnitSolarLearner(OrderedFold):
-    """Residual screen and LMS / inequality updates of one unit and regime."""
+    """Residual screen and LMS / inequality updates of one unit and regime; a site's few units are one state."""
 
+    together = True
     output = "site_id long, unit_id string, regime string, ts timestamp, outlier boolean, s double, e double, w double"
 
     def fold(self, key, doc, rows):
-        st, scr, out = SolarState(3, doc.get("solar")), ResidualScreen(doc.get("screen")), []
-        for r in rows.itertuples(index=False):
-            vec = np.array([r.ps, r.pe, r.pw], float)
-            base, raw = float(r.expected_base_kwh), float(r.raw_impact)
-            bad = scr.outlier(raw - float(st.coeff @ vec), float(r.actual_kwh), base, float(r.min_base))
-            if not bad and r.is_shutdown and key[2] == "heating":
-                st.shutdown(base, np.array([r.battery_s, r.battery_e, r.battery_w], float))
-            elif not bad and not r.is_shutdown:
-                st.modulating(raw, vec)
-            out.append((*key, r.ts, bad, *st.coeff.tolist()))
+        st, scr = SolarState(3, doc.get("solar")), ResidualScreen(doc.get("screen"))
+        numbers = lambda *cols: rows[list(cols)].to_numpy(float)
+        sun, stored = numbers("ps", "pe", "pw"), numbers("battery_s", "battery_e", "battery_w")
+        facts = numbers("raw_impact", "actual_kwh", "expected_base_kwh", "min_base").tolist()
+        flags, coeffs = [], np.empty((len(rows), 3))
+        for i, (off, (raw, actual, base, least)) in enumerate(zip(rows["is_shutdown"].tolist(), facts)):
+            bad = scr.outlier(raw - float(st.coeff @ sun[i]), actual, base, least)
+            if not bad and off and key[2] == "heating":
+                st.shutdown(base, stored[i])
+            elif not bad and not off:
+                st.modulating(raw, sun[i])
+            flags.append(bad)
+            coeffs[i] = st.coeff
         doc.update({"solar": st.dump(), "screen": scr.dump()})
-        return pd.DataFrame(out, columns=["site_id", "unit_id", "regime", "ts", "outlier", "s", "e", "w"])
+        named = dict(zip(["site_id", "unit_id", "regime"], key))
+        return pd.DataFrame({**named, "ts": rows["ts"], "outlier": flags, "s": coeffs[:, 0], "e": coeffs[:, 1], "w": coeffs[:, 2]})
 
 
 class OutageAlert(OrderedFold):

@@ -43,10 +43,15 @@ class OrderedFold(StatefulProcessor):
     State: the document (``fold``); the rows that wait, a list of chunks with the time of their
     first row (``waiting``); the time of the one timer that is set (``due``), just after the
     first row that waits. Memory for a key is what it received within the watermark's delay and one micro-batch.
+
+    A state costs calls and small tables whatever it holds. With ``together``, for keys of few rows, those that
+    share the first key column are one state, whose document holds theirs by the other columns (``inner``).
     """
 
     order: list[str] = ["ts"]
     output: str
+    together = False
+    inner: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -63,7 +68,10 @@ class OrderedFold(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Go on from a stored document (column ``doc``)."""
-        self.state.update((initialState["doc"].iloc[0],))
+        docs = initialState["doc"].tolist()
+        if self.inner:
+            docs = [json.dumps({json.dumps(k): json.loads(doc) for k, doc in zip(initialState[self.inner].values.tolist(), docs)})]
+        self.state.update((docs[0],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         firsts = []
@@ -71,12 +79,12 @@ class OrderedFold(StatefulProcessor):
             first = int(_millis(part["ts"]).min())
             self.waiting.appendValue((first, _packed(part)))
             firsts.append(first)
-        self._wake(min(firsts))
+        now = self.due.get()
+        self._wake(min(firsts), now[0] if now else None)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         edge = timerValues.getCurrentWatermarkInMs()
-        self.due.clear()
         ready, later = [], []
         for first, chunk in self.waiting.get():
             if first >= edge:
@@ -93,17 +101,28 @@ class OrderedFold(StatefulProcessor):
             self._wake(min(first for first, _ in later))
         else:
             self.waiting.clear()
-        doc = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
-        out = self.fold(key, doc, pd.concat(ready).sort_values(self.order, kind="stable").reset_index(drop=True)) if ready else None
+            self.due.clear()
+        kept = self.state.get()
+        doc = json.loads(kept[0]) if kept else self.start()
+        outs = self._folded(key, doc, pd.concat(ready).sort_values(self.order, kind="stable").reset_index(drop=True)) if ready else []
         self.state.update((json.dumps(doc),))
-        if out is not None and len(out):
-            yield out
-
-    def _wake(self, first: int) -> None:
-        """Have the key called once the watermark is past ``first``."""
+        outs = [out for out in outs if len(out)]
+        if outs:
+            yield pd.concat(outs) if len(outs) > 1 else outs[0]
+
+    def _folded(self, key: tuple, doc: dict, rows: pd.DataFrame) -> list[pd.DataFrame]:
+        if not self.inner:
+            return [self.fold(key, doc, rows)]
+        outs = []
+        for other, part in rows.groupby(self.inner, dropna=False):
+            other = [x if x == x else None for x in other]
+            outs.append(self.fold((*key, *other), doc.setdefault(json.dumps(other), self.start()), part.reset_index(drop=True)))
+        return outs
+
+    def _wake(self, first: int, now: int | None = None) -> None:
+        """Have the key called once the watermark is past ``first``; ``now`` is the timer that is set already, if one is."""
         at = first + 1
-        if self.due.exists():
-            now = self.due.get()[0]
+        if now is not None:
             if now <= at:
                 return
             self.handle.deleteTimer(now)
@@ -120,13 +139,15 @@ def ordered_stream(stream: DataFrame, keys: list[str], processor: OrderedFold, d
     ``delay`` is how far rows may lag behind the newest one. ``start`` (the keys and ``doc``)
     holds the state that the keys begin with at the first start of the query.
     """
-    begun = {} if start is None else {"initialState": start.select(*keys, "doc").groupBy(*keys)}
-    return stream.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
+    held = keys[:1] if processor.together else keys
+    processor.inner = keys[len(held):]
+    begun = {} if start is None else {"initialState": start.select(*keys, "doc").groupBy(*held)}
+    return stream.withWatermark("ts", delay).groupBy(*held).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="eventTime", **begun)
 
 
 def fold_states(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """The keys and ``doc`` of every key of a stopped query that ran in ``folder`` (as ``drain`` lays it out)."""
+    """The keys and ``doc`` of every state of a stopped query that ran in ``folder`` (as ``drain`` lays it out); ``keys`` as the states have them."""
     read = spark.read.format("statestore").option("stateVarName", "fold").load(f"{folder}/checkpoint")
     return read.select(*[F.col(f"key.{k}").alias(k) for k in keys], F.col("value.doc").alias("doc"))
 
