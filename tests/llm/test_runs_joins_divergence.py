@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,6 +201,32 @@ def test_a_group_of_copies_costs_its_size(spark):
     assert sum(pairs) < 20 * len(rows)
 
 
+@pytest.mark.parametrize("percent", [90, 75])
+def test_rows_that_may_link_share_a_class_of_size(spark, percent):
+    rng = random.Random(4)
+    rows = [(k, 1000 * k + i, n, rng.randrange(max(1, n // 10))) for k in range(3) for i, n in enumerate([*range(1, 120), *(rng.randrange(100, 5000) for _ in range(60))])]
+    df, keep = spark.createDataFrame(rows, "key long, id long, n long, pos long"), prefixjoin.may_link(percent)
+    left, right = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "lr")
+    kept = left.join(right, (F.col("l_key") == F.col("r_key")) & (F.col("l_id") < F.col("r_id"))).where(keep(lambda c: F.col(f"l_{c}"), lambda c: F.col(f"r_{c}")))
+    lists = defaultdict(set)
+    for r in prefixjoin.by_size(df, percent).collect():
+        lists[r["key"]].add(r["id"])
+    want = {(r["l_id"], r["r_id"]) for r in kept.select("l_id", "r_id").collect()}
+    assert want and want <= {(a, b) for ids in lists.values() for a in ids for b in ids}
+
+
+def test_a_common_shingle_of_many_sizes_is_no_long_list(spark, monkeypatch):
+    rng = random.Random(4)
+    # the shared shingle has a low hash, so it leads in all texts
+    phrase = min((f"a{i} rare passage" for i in range(20000)), key=lambda t: int(prefixjoin.distinct_sets(pa.array([t]))[0][0]))
+    rows = [(i, f"{phrase} " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(round(20 * 1.3**i)))) for i in range(20)]
+    held, before = [], prefixjoin.stored
+    monkeypatch.setattr(prefixjoin, "stored", lambda df, name: held.append((name, before(df, name))) or held[-1][1])
+    got = prefixjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["component_id"] for r in got.collect()) == list(range(20))
+    assert len(rows) > prefixjoin.FEW and sum(df.count() for name, df in held if name == "prefix-rows") == 0
+
+
 # -- source divergence ----------------------------------------------------------------------
 
 

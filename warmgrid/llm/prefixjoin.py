@@ -16,7 +16,8 @@ shingles, and a pair goes on only if
 * suffix: the sets' counts in fixed ranges of hashes (``BINS``, and more for larger sets, about ``PER_BIN`` shingles each) differ by no more
   than the symmetric difference the similarity allows.
 
-Each pair left is verified once, on the full sets. Up to ``FEW`` documents of a shingle meet as pairs. More are never paired
+Each pair left is verified once, on the full sets. Up to ``FEW`` documents of a shingle meet as pairs. Longer lists are cut into
+classes of size first (``by_size``), which lose no pair; a class of up to ``FEW`` meets as pairs. More are never paired
 with each other while they may yet be found connected: they are held first against the one with the fewest rarer
 shingles (the text the others were made from, if there is one), then against one chosen by hash, and only documents
 of different components of the links so found meet as pairs. So a group of copies costs its size, and no
@@ -29,6 +30,7 @@ is linked to; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,6 +138,11 @@ def needed(percent: int, n: Column, m: Column) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent))
 
 
+def leads(percent: int, n: Column, pos: Column) -> Column:
+    """Whether a shingle at ``pos`` is among the first that the smaller set of a pair, of n items, needs."""
+    return pos <= n - F.ceil(2 * percent * n / F.lit(100 + percent))
+
+
 def may_link(percent: int):
     """The length and position filters on the two sides of a shared shingle; sides name (id, n, pos)."""
 
@@ -144,11 +151,23 @@ def may_link(percent: int):
         n, m = F.least(left("n"), right("n")), F.greatest(left("n"), right("n"))
         spot = F.when(small, left("pos")).otherwise(right("pos"))
         rest = F.least(left("n") - left("pos"), right("n") - right("pos"))
-        return (100 * n >= percent * m) & (spot <= n - F.ceil(2 * percent * n / F.lit(100 + percent))) & (rest >= needed(percent, n, m))
+        return (100 * n >= percent * m) & leads(percent, n, spot) & (rest >= needed(percent, n, m))
 
     return keep
 
 
+def by_size(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, pos, leads, own) under keys that hold a class of sizes, too: each pair that ``may_link`` keeps shares one.
+
+    A row is in its own size's class; one that may be the smaller of a pair is in the next class, too, since sizes
+    that link are in the same class or in adjoining ones (a class is a little wider than the length filter).
+    """
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(-1.001 * math.log(percent / 100), 1e-9)))
+    placed = rows.withColumns({"leads": leads(percent, F.col("n"), F.col("pos")), "class": own})
+    dealt = placed.select("*", F.explode(F.when(F.col("leads"), F.array(F.col("class"), F.col("class") + 1)).otherwise(F.array("class"))).alias("at"))
+    return dealt.select(F.xxhash64("key", "at").alias("key"), "id", "n", "pos", "leads", (F.col("at") == F.col("class")).alias("own"))
+
+
 def coarse_may_link(percent: int):
     """``may_link`` and the suffix filter on the coarse bins of the two sides, for many documents of one shingle."""
     keep = may_link(percent)
@@ -233,14 +252,21 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posted = Stored(classes.select("id", "n", F.posexplode("first").alias("pos", "key")), "prefix-posted")
     shared = stored(posted.df.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "prefix-shared")
     held = sift(posted.df, "key", shared.select("key"))
-    listed = held.join(shared.where(F.col("size") <= FEW), "key").groupBy("key").agg(F.collect_list(F.struct("id", "n", "pos")).alias("all"))
+    # a list of many sizes is several lists, each with a document that may be the smaller of a pair and one that may be the larger
+    split = Stored(by_size(held.join(shared.where(F.col("size") > FEW).select("key"), "key"), percent), "prefix-split")
+    sized = split.df.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("leads").alias("leads"), F.max("own").alias("own")).where("size > 1 AND leads AND own")
+    parts = stored(sized.select("key", "size"), "prefix-parts")
+    lists = lambda level, sizes: level.join(sizes, "key").select("key", "id", "n", "pos")
+    few = lists(held, shared.where(F.col("size") <= FEW)).unionAll(lists(split.df, parts.where(F.col("size") <= FEW)))
+    listed = few.groupBy("key").agg(F.collect_list(F.struct("id", "n", "pos")).alias("all"))
     met = listed.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("r")).where("l.id < r.id")
     near = met.where(keep(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     check = lambda pairs: verified(suffix_filter(stored(pairs, "prefix-pairs"), reps, percent), docs, percent)
 
     links = stored(links.unionAll(check(near)), "prefix-links")
-    rows = stored(held.join(shared.where(F.col("size") > FEW).select("key"), "key").select("key", "id", "n", "pos"), "prefix-rows")
-    posted.drop()
+    rows = stored(lists(split.df, parts.where(F.col("size") > FEW)), "prefix-rows")
+    for old in (posted, split):
+        old.drop()
     open_ = rows
     for chosen in (F.col("pos"), F.lit(0)):
         pick = F.min(F.struct(chosen.alias("p"), F.xxhash64("key", "id", F.lit(5)).alias("o"), "id", "n", "pos")).alias("pivot")
