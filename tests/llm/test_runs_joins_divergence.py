@@ -220,6 +220,8 @@ def test_a_common_shingle_of_many_sizes_is_no_long_list(spark, monkeypatch):
     # the shared shingle has a low hash, so it leads in all texts
     phrase = min((f"a{i} rare passage" for i in range(20000)), key=lambda t: int(prefixjoin.distinct_sets(pa.array([t]))[0][0]))
     rows = [(i, f"{phrase} " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(round(20 * 1.3**i)))) for i in range(20)]
+    # as in a corpus too large for its summary to know this shingle
+    monkeypatch.setattr(prefixjoin, "common_shingles", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     held, before = [], prefixjoin.stored
     monkeypatch.setattr(prefixjoin, "stored", lambda df, name: held.append((name, before(df, name))) or held[-1][1])
     got = prefixjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
