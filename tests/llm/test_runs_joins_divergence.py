@@ -229,6 +229,19 @@ def test_a_common_shingle_of_many_sizes_is_no_long_list(spark, monkeypatch):
     assert len(rows) > prefixjoin.FEW and sum(df.count() for name, df in held if name == "prefix-rows") == 0
 
 
+def test_rows_in_classes_of_size_grow_with_the_table(spark, monkeypatch):
+    rng = random.Random(6)
+    phrase = min((f"a{i} rare passage" for i in range(20000)), key=lambda t: int(prefixjoin.distinct_sets(pa.array([t]))[0][0]))
+    monkeypatch.setattr(prefixjoin, "common_shingles", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    dealt, before = [], prefixjoin.by_size
+    monkeypatch.setattr(prefixjoin, "by_size", lambda rows, percent: dealt.append(before(rows, percent).count()) or before(rows, percent))
+    for n in (10, 50):  # the shared shingle's list is short in the small table, long in the large one
+        rows = [(i, f"{phrase} " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))) for i in range(n)]
+        got = prefixjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r["component_id"] for r in got.collect()) == list(range(n))
+    assert 0 < dealt[1] <= 6 * dealt[0]
+
+
 # -- source divergence ----------------------------------------------------------------------
 
 

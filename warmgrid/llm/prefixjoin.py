@@ -16,8 +16,8 @@ shingles, and a pair goes on only if
 * suffix: the sets' counts in fixed ranges of hashes (``BINS``, and more for larger sets, about ``PER_BIN`` shingles each) differ by no more
   than the symmetric difference the similarity allows.
 
-Each pair left is verified once, on the full sets. Up to ``FEW`` documents of a shingle meet as pairs. Longer lists are cut into
-classes of size first (``by_size``), which lose no pair; a class of up to ``FEW`` meets as pairs. More are never paired
+Each pair left is verified once, on the full sets. A shingle's list is cut into classes of size (``by_size``), whatever its length,
+which loses no pair; a class of up to ``FEW`` documents meets as pairs. More are never paired
 with each other while they may yet be found connected: they are held first against the one with the fewest rarer
 shingles (the text the others were made from, if there is one), then against one chosen by hash, and only documents
 of different components of the links so found meet as pairs. So a group of copies costs its size, and no
@@ -250,21 +250,21 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     reps, keep = classes.select("id", "n", "bins"), may_link(percent)
     posted = Stored(classes.select("id", "n", F.posexplode("first").alias("pos", "key")), "prefix-posted")
-    shared = stored(posted.df.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "prefix-shared")
-    held = sift(posted.df, "key", shared.select("key"))
-    # a list of many sizes is several lists, each with a document that may be the smaller of a pair and one that may be the larger
-    split = Stored(by_size(held.join(shared.where(F.col("size") > FEW).select("key"), "key"), percent), "prefix-split")
-    sized = split.df.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("leads").alias("leads"), F.max("own").alias("own")).where("size > 1 AND leads AND own")
+    # every list is cut, so that rows grow with the postings and not with the lists that pass a bound; what is left of
+    # it is a list only with a document that may be the smaller of a pair and one that may be the larger
+    dealt = by_size(posted.df, percent)
+    sized = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("leads").alias("leads"), F.max("own").alias("own")).where("size > 1 AND leads AND own")
     parts = stored(sized.select("key", "size"), "prefix-parts")
-    lists = lambda level, sizes: level.join(sizes, "key").select("key", "id", "n", "pos")
-    few = lists(held, shared.where(F.col("size") <= FEW)).unionAll(lists(split.df, parts.where(F.col("size") <= FEW)))
-    listed = few.groupBy("key").agg(F.collect_list(F.struct("id", "n", "pos")).alias("all"))
-    met = listed.select("all", F.explode("all").alias("l")).select("l", F.explode("all").alias("r")).where("l.id < r.id")
-    near = met.where(keep(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    split = Stored(sift(dealt, "key", parts.select("key")).join(parts, "key").select("key", "id", "n", "pos", "own", "size"), "prefix-split")
+    few = split.df.where(F.col("size") <= FEW)
+    listed = few.groupBy("key").agg(F.collect_list(F.struct("id", "n", "pos", "own")).alias("all"))
+    # documents of one class meet in their own, not again in the next one
+    met = listed.select("all", F.explode(F.filter("all", lambda x: x["own"])).alias("l")).select("l", F.explode("all").alias("r")).where("IF(r.own, l.id < r.id, l.id != r.id)")
+    near = met.where(keep(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     check = lambda pairs: verified(suffix_filter(stored(pairs, "prefix-pairs"), reps, percent), docs, percent)
 
     links = stored(links.unionAll(check(near)), "prefix-links")
-    rows = stored(lists(split.df, parts.where(F.col("size") > FEW)), "prefix-rows")
+    rows = stored(split.df.where(F.col("size") > FEW).select("key", "id", "n", "pos"), "prefix-rows")
     for old in (posted, split):
         old.drop()
     open_ = rows
